@@ -46,8 +46,12 @@ HYPHENS = "-­‐‑¬"
 LEAST_RATIO = 8
 #: Least log odds of a Han correction in its context.
 LEAST_ODDS = 3.0
+#: Weight of a pair whose other glyph is a reading as well.
+SECOND_PRICE = 0.1
 #: Context words of the skip-gram vectors, and their length.
 CONTEXT_WORDS, VECTOR_SIZE, SHIFT = 1000, 32, 1.0
+#: Vectors of words with this many neighbours must have at least this cosine with the correction's.
+LEAST_SEEN, LEAST_COSINE = 30, 0.2
 #: Words not looked at in the second pass because they are among this many most frequent ones.
 FREQUENT_WORDS = 50_000
 
@@ -390,8 +394,8 @@ def glyph_links(counts: DataFrame) -> DataFrame:
     theirs = vectors.select(F.col("token").alias("correct"), F.col("vector").alias("u"))
     compared = likely.join(mine, "token", "left").join(theirs, "correct", "left")
     cosine = dot("v", "u") / F.sqrt(dot("v", "v") * dot("u", "u"))
-    # A word seen a few times only has a vector of little weight; disagreement must be well founded.
-    agree = F.coalesce(cosine >= F.least(F.lit(0.3), F.col("seen") / 400), F.lit(True))
+    # A word with few neighbours has a vector of little weight and can't disagree.
+    agree = F.coalesce((F.col("seen") < LEAST_SEEN) | (cosine >= LEAST_COSINE), F.lit(True))
     best = F.max(F.struct(F.coalesce(cosine, F.lit(0.0)), "often", "correct", F.col("at").alias("at"))).alias("best")
     return compared.filter(agree).groupBy("token").agg(best).select("token", "best.correct", "best.at")
 
@@ -422,12 +426,13 @@ def han_readings(pairs: dict[str, int], text: str) -> list[tuple[int, str]]:
         best = (LEAST_ODDS, "")
         for b in _READINGS[a]:
             odds, top = 0.0, 0
+            # The neighbour may be misread too, at a price.
             if x:
-                there = pairs.get(x + b, 0)
+                there = max([pairs.get(x + b, 0), *(pairs.get(z + b, 0) * SECOND_PRICE for z in _READINGS.get(x, ()))])
                 odds += np.log((there + 0.5) / (pairs.get(x + a, 0) + 0.5))
                 top = max(top, there)
             if y:
-                there = pairs.get(b + y, 0)
+                there = max([pairs.get(b + y, 0), *(pairs.get(b + z, 0) * SECOND_PRICE for z in _READINGS.get(y, ()))])
                 odds += np.log((there + 0.5) / (pairs.get(a + y, 0) + 0.5))
                 top = max(top, there)
             if odds > best[0] and top >= LEAST_RATIO:
@@ -454,7 +459,6 @@ def noise_candidates(fields: DataFrame, counts: DataFrame) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, frequent = shared.value
         cache: dict = {}
-        odd_pairs: dict[str, bool] = {}
         for batch in batches:
             rows, line_no, noise, token, cut, next_no = [], [], [], [], [], []
 
@@ -493,8 +497,6 @@ def noise_candidates(fields: DataFrame, counts: DataFrame) -> DataFrame:
                     text, owner = _condensed(lines, furniture)
                     for k in sorted({owner[at] for at, _ in han_readings(pairs, text)}):
                         add(r, k, "glyph")
-            del odd_pairs
-            odd_pairs = {}
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(line_no, pa.int32()), pa.array(noise, pa.string()), pa.array(token, pa.string()), pa.array(cut, pa.int32()), pa.array(next_no, pa.int32())],
                 ["id", "line_no", "noise", "token", "cut", "next_no"],
@@ -516,14 +518,8 @@ def prepared(df: DataFrame) -> DataFrame:
     return joined.select("id", "content", "page", "table", "image", "layer", file.alias("file"), "title", book.alias("book"))
 
 
-def scan_noise(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(noise, counts, links) of a chunk table; ``noise`` has ``id, line_no, noise``, each row once.
-
-    Expects ``id, content, page, is_table_chunk, is_image_chunk, layer, source, title, document_id``; others are
-    ignored. Null ids and null or empty contents give no row, tables and images have no running text; a chunk
-    without a page gets page-number labels only for numbers in page-number dress; one whose file is
-    unknown is checked for chapter heads only; repeated rows count once; one-line contents have no furniture.
-    """
+def _scan(df: DataFrame) -> dict[str, DataFrame]:
+    """All tables of a scan: ``fields, counts, links, found`` and ``waiting``, the words that were looked up."""
     fields = spread(prepared(df))
     counts = written(first_pass(fields.select("id", "content", "page", "table", "image", "layer", "file", "title")), "scan-counts")
     links = written(glyph_links(counts), "glyph-links")
@@ -531,8 +527,109 @@ def scan_noise(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     words = counts.filter(F.col("kind") == WORD).select("token", F.lit(True).alias("whole"))
     known = words.join(links, "token", "full_outer")
     waiting = found.filter("token IS NOT NULL").join(known, "token")
+    return {"fields": fields, "counts": counts, "links": links, "found": found, "waiting": waiting}
+
+
+def scan_noise(df: DataFrame) -> DataFrame:
+    """``id, line_no, noise``, each row once: header, page_number, hyphen and glyph lines, counted from 1.
+
+    Expects ``id, content, page, is_table_chunk, is_image_chunk, layer, source, title, document_id``; others are
+    ignored. Null ids and null or empty contents give no row, tables and images have no running text; a chunk
+    without a page gets page-number labels only for numbers in page-number dress; one whose file is
+    unknown is checked for chapter heads only; repeated rows count once; one-line contents have no furniture.
+    """
+    scan = _scan(df)
+    waiting = scan["waiting"]
     hyphens = waiting.filter("noise = 'broken' AND (whole OR correct IS NOT NULL)").select("id", "line_no", F.lit("hyphen").alias("noise"))
     at_line = F.when((F.col("noise") == "broken") & (F.col("at") >= F.col("cut")), F.col("next_no")).otherwise(F.col("line_no"))
     glyphs = waiting.filter("correct IS NOT NULL").select("id", at_line.alias("line_no"), F.lit("glyph").alias("noise"))
-    ready = found.filter("token IS NULL").select("id", "line_no", "noise")
-    return ready.unionByName(hyphens).unionByName(glyphs).distinct(), counts, links
+    ready = scan["found"].filter("token IS NULL").select("id", "line_no", "noise")
+    return ready.unionByName(hyphens).unionByName(glyphs).distinct()
+
+
+def _cased(like: str, word: str) -> str:
+    return word.upper() if like.isupper() else word.capitalize() if like[:1].isupper() else word
+
+
+def repaired_text(content: str, furniture: set[int], joins: set[int], fixes: dict[str, str], pairs: dict[str, int]) -> str:
+    """Continuous paragraphs: furniture removed, words joined, glyphs corrected, lines reflowed (line numbers from 1)."""
+    lines = [(k, line.rstrip()) for k, line in enumerate(content.split("\n"), 1) if k not in furniture]
+    full = [line for _, line in lines if line.strip()]
+    if not full:
+        return ""
+    width = max(map(len, full))
+    closed = sum(line.endswith(_STOPS) for line in full)
+    wrapped = len(full) > 1 and closed < 0.6 * len(full)
+    paragraphs: list[str] = []
+    text = ""
+    open_word = False
+    for k, line in lines:
+        own = line.strip()
+        if not own:
+            if text and not open_word and (text.endswith(_STOPS) or not wrapped):
+                paragraphs.append(text)
+                text = ""
+            continue
+        if not text:
+            text = own
+        elif open_word:
+            text = text + own
+        elif _RUN.match(text[-1]) or _RUN.match(own[0]) or text[-1] in "，。；：、！？（“《" or own[0] in "，。；：、！？）”》":
+            text = text + own
+        else:
+            text = text + " " + own
+        open_word = k in joins
+        if open_word:
+            text = text.rstrip(HYPHENS + " ")
+        elif text.endswith(_STOPS) and (not wrapped or len(line) < 0.7 * width):
+            paragraphs.append(text)
+            text = ""
+        elif not wrapped:
+            paragraphs.append(text)
+            text = ""
+    if text:
+        paragraphs.append(text)
+    out = []
+    for t in paragraphs:
+        if fixes:
+            t = _WORD.sub(lambda m: _cased(m[0], fixes[m[0].lower()]) if m[0].lower() in fixes else m[0], t)
+        for at, b in han_readings(pairs, t):
+            t = t[:at] + b + t[at + 1 :]
+        out.append(t)
+    return "\n\n".join(out)
+
+
+_STOPS = ("。", ".", "!", "?", "！", "？", "．", "｡", "”", '"', "：", ":")
+
+
+def repair_scans(df: DataFrame) -> DataFrame:
+    """``id, text``: the running text of every chunk as continuous paragraphs; defined cases as in :func:`scan_noise`.
+
+    Tables, images and null contents come out as they are.
+    """
+    scan = _scan(df)
+    waiting = scan["waiting"].filter("correct IS NOT NULL OR (noise = 'broken' AND whole)")
+    # At most as many entries per chunk as its text has lines and words.
+    words = waiting.groupBy("id").agg(
+        F.collect_set(F.when(F.col("correct").isNotNull(), F.struct("token", "correct"))).alias("fixes"),
+        F.collect_set(F.when(F.col("noise") == "broken", F.col("line_no"))).alias("joins"),
+    )
+    lines = scan["found"].filter("noise IN ('header', 'page_number')").groupBy("id").agg(F.collect_set("line_no").alias("furniture"))
+    # One row per id: the content is the same in every delivery.
+    fields = scan["fields"].groupBy("id").agg(F.min(F.struct("content", "table", "image")).alias("f"))
+    joined = fields.join(lines, "id", "left").join(words, "id", "left").select("id", "f.content", "f.table", "f.image", "furniture", "joins", "fixes")
+    listed = scan["counts"].filter(F.col("kind") == PAIR).select("token", "n").toPandas()  # bounded as in noise_candidates
+    shared = df.sparkSession.sparkContext.broadcast(dict(zip(listed["token"], listed["n"].astype(int))))
+
+    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for content, table, image, furniture, joins, fixes in zip(*(batch.column(k).to_pylist() for k in range(1, 7))):
+                if not content or not is_running_text(content, table, image):
+                    out.append(content)
+                else:
+                    own = {f["token"]: f["correct"] for f in fixes or []}
+                    out.append(repaired_text(content, set(furniture or []), set(joins or []), own, shared.value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "text"])
+
+    return joined.mapInArrow(repair, f"id {fields.schema['id'].dataType.simpleString()}, text string")
