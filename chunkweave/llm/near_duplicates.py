@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +30,7 @@ BLOCK = 512
 #: Standard errors of the estimate left below the threshold before a pair is given up without an exact check.
 SLACK = 4.0
 _PART = 1 << 19
+_PAIRS = 1 << 18
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -188,31 +188,69 @@ def _checked(pairs: DataFrame, nodes: DataFrame, threshold: float, width: int) -
     return both.mapInArrow(alike, "u bigint, v bigint")
 
 
+def _cell_pairs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (a, b), a < b, inside consecutive cells, given for each row as its index and the end of its cell, in parts."""
+    counts = end - start - 1
+    total = np.cumsum(counts)
+    begin = 0
+    while begin < len(counts):
+        base = total[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(total, base + _PAIRS, side="right")))
+        n = counts[begin:stop]
+        a = np.repeat(start[begin:stop], n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        if len(a):
+            yield a, b
+        begin = stop
+
+
 def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs across components inside buckets ``(key, size, rid, comp, sig)``, by pairs of blocks."""
+    """Likely pairs across components inside buckets ``(key, size, rid, comp, sig)``, by pairs of blocks.
+
+    A cell holds one block or two blocks of a bucket, so at most ``2 * BLOCK`` rows; many cells share a task.
+    """
     least = _least_estimate(threshold)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    placed = rows.select("key", "rid", "comp", "sig", own.alias("own"), F.explode(cells).alias("c")).select("key", "rid", "comp", "sig", "own", "c.i", "c.j")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left = pdf[pdf["own"] == i]
-        right = left if i == j else pdf[pdf["own"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"u": [], "v": []}).astype("int64")
-        sl = np.frombuffer(b"".join(left["sig"]), np.uint8).reshape(len(left), -1)
-        sr = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(len(right), -1)
-        lr, rr, lc, rc = left["rid"].to_numpy(), right["rid"].to_numpy(), left["comp"].to_numpy(), right["comp"].to_numpy()
-        us, vs = [], []
-        for k in range(len(left)):
-            ok = np.flatnonzero((rc != lc[k]) & (corrected_similarity(sl[k][None], sr) >= least))
-            us.append(np.minimum(lr[k], rr[ok]))
-            vs.append(np.maximum(lr[k], rr[ok]))
-        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
-
-    return placed.groupBy("key", "i", "j").applyInPandas(compare, "u bigint, v bigint").distinct()
+    placed = rows.select("key", "rid", "comp", "sig", own.alias("own"), F.explode(cells).alias("c")).select("key", "c.i", "c.j", "own", "rid", "comp", "sig")
+    # Cells stay together in a partition and lie next to each other; only a cell cut by a batch is carried over.
+    near = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def pairs(table: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
+        index = np.arange(len(cell))
+        last = np.flatnonzero(np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
+        end = last[np.searchsorted(last, index, side="right")]
+        i, j, own, rid, comp = (table.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+        sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(cell), -1)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in _cell_pairs(index, end):
+            ok = (comp[a] != comp[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
+            a, b = a[ok], b[ok]
+            ok = corrected_similarity(sig[a], sig[b]) >= least
+            us.append(np.minimum(rid[a[ok]], rid[b[ok]]))
+            vs.append(np.maximum(rid[a[ok]], rid[b[ok]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            key, i, j = (table.column(k).to_numpy() for k in range(3))
+            changes = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            cell = np.cumsum(changes)
+            cut = int(np.flatnonzero(changes)[-1])
+            if cut:
+                yield pairs(table.slice(0, cut), cell[:cut])
+            rest = table.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield pairs(rest, np.zeros(rest.num_rows, np.int64))
+
+    return near.mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
 def near_duplicate_groups(
