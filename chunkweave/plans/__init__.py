@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    return [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__)]
+    return [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__) if not m.name.startswith("_")]
 
 
 def queries() -> dict:
