@@ -11,6 +11,7 @@ A second pass labels lines; page furniture is removed before words are joined ac
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -194,12 +195,23 @@ def label_furniture(lines: list[str], page: int | None, classes: set[str], longe
     return out
 
 
+def _ends_broken(line: str) -> re.Match | None:
+    """The match of a word cut by a hyphen at the end of a line."""
+    t = line.rstrip()
+    if not t or t[-1] not in HYPHENS:
+        return None
+    begin = len(t) - 1
+    while begin and t[begin - 1].isalnum() and t[begin - 1].isascii():
+        begin -= 1
+    return _BROKEN.match(line, begin)
+
+
 def broken_words(lines: list[str], furniture: list[str | None]) -> list[tuple[int, int, str, int]]:
     """(line, next line, joined word, length of its first part) of words cut by a hyphen at a line's end."""
     out = []
     body = [k for k, f in enumerate(furniture) if f is None and lines[k].strip()]
     for a, b in zip(body, body[1:]):
-        m = _BROKEN.search(lines[a])
+        m = _ends_broken(lines[a])
         n = _NEXT.match(lines[b]) if m else None
         if m and n and any(c.isalpha() for c in m[1]):
             out.append((a, b, (m[1] + n[1]).lower(), len(m[1])))
@@ -207,7 +219,9 @@ def broken_words(lines: list[str], furniture: list[str | None]) -> list[tuple[in
 
 
 def _is_word(word: str) -> bool:
-    return len(word) >= 3 and sum(c.isalpha() for c in word) >= 2 and len(word) <= 40
+    if not 3 <= len(word) <= 40:
+        return False
+    return word.isalpha() or sum(map(str.isalpha, word)) >= 2
 
 
 def _words(lines: list[str], furniture: list[str | None], broken: list[tuple[int, int, str, int]]) -> list[list[str]]:
@@ -222,7 +236,7 @@ def _words(lines: list[str], furniture: list[str | None], broken: list[tuple[int
         found = [w.lower() for w in _WORD.findall(line)]
         if k in begins:
             found = found[1:]
-        if k in ends or _BROKEN.search(line):
+        if k in ends or _ends_broken(line):
             found = found[:-1]
         out.append([w for w in found if _is_word(w)])
     return out
@@ -418,27 +432,34 @@ def han_readings(pairs: dict[str, int], text: str) -> list[tuple[int, str]]:
     """(position, correction) of misread Han glyphs, from the counts of the pairs they form with their neighbours."""
     out = []
     n = len(text)
+    get = pairs.get
     for m in _CONFUSABLE.finditer(text):
         at = m.start()
         a = text[at]
-        x = text[at - 1] if at and _RUN.match(text[at - 1]) else ""
-        y = text[at + 1] if at + 1 < n and _RUN.match(text[at + 1]) else ""
-        best = (LEAST_ODDS, "")
+        x = text[at - 1] if at and "\u3400" <= text[at - 1] <= "\u9fff" else ""
+        y = text[at + 1] if at + 1 < n and "\u3400" <= text[at + 1] <= "\u9fff" else ""
+        before = get(x + a, 0) if x else 0
+        after = get(a + y, 0) if y else 0
+        best, correction = LEAST_ODDS, ""
         for b in _READINGS[a]:
             odds, top = 0.0, 0
             # The neighbour may be misread too, at a price.
             if x:
-                there = max([pairs.get(x + b, 0), *(pairs.get(z + b, 0) * SECOND_PRICE for z in _READINGS.get(x, ()))])
-                odds += np.log((there + 0.5) / (pairs.get(x + a, 0) + 0.5))
-                top = max(top, there)
+                there = get(x + b, 0)
+                for z in _READINGS.get(x, ()):
+                    there = max(there, get(z + b, 0) * SECOND_PRICE)
+                odds = math.log((there + 0.5) / (before + 0.5))
+                top = there
             if y:
-                there = max([pairs.get(b + y, 0), *(pairs.get(b + z, 0) * SECOND_PRICE for z in _READINGS.get(y, ()))])
-                odds += np.log((there + 0.5) / (pairs.get(a + y, 0) + 0.5))
+                there = get(b + y, 0)
+                for z in _READINGS.get(y, ()):
+                    there = max(there, get(b + z, 0) * SECOND_PRICE)
+                odds += math.log((there + 0.5) / (after + 0.5))
                 top = max(top, there)
-            if odds > best[0] and top >= LEAST_RATIO:
-                best = (float(odds), b)
-        if best[1]:
-            out.append((at, best[1]))
+            if odds > best and top >= LEAST_RATIO:
+                best, correction = odds, b
+        if correction:
+            out.append((at, correction))
     return out
 
 
