@@ -127,7 +127,7 @@ def inherit_related(candidates: DataFrame, chunks: DataFrame, least: float = 0.2
     info = chunks.select("id", F.coalesce("document_id", F.lit("")).alias("doc"), F.coalesce("page", F.lit(-1)).alias("page"), F.coalesce("is_image_chunk", F.lit(False)).alias("image"))
     joined = first.join(info, "id")
     factor = F.when(F.col("image"), 0.45).otherwise(0.85)
-    scored = joined.withColumn("score", F.round(F.greatest(F.lit(least), -F.col("o.col1") * factor), 6))
+    scored = joined.withColumn("score", F.round(F.greatest(F.lit(least), -F.col("o.col1") * factor), 8))
     page = Window.partitionBy("query_id", "image", "doc", "page").orderBy("o", "id")
     return scored.withColumn("n", F.row_number().over(page)).filter(~F.col("image") | (F.col("n") == 1)).select("query_id", "id", "score")
 

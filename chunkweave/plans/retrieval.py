@@ -239,7 +239,7 @@ SELECT query_id, id, score, 'hit' AS channel FROM hits UNION ALL SELECT query_id
     "related_inherit": _HITS
     + f""", named AS (SELECT query_id, rel AS id, -score AS s, l.id AS from_id, pos FROM hits h JOIN {_LISTED} l ON l.id = h.id WHERE rel IS NOT NULL AND (query_id, rel) NOT IN (SELECT (query_id, id) FROM hits)),
 first AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY s, from_id, pos) = 1)
-SELECT query_id, id, score FROM (SELECT query_id, f.id, coalesce(is_image_chunk, false) AS image, round(greatest(0.24::DOUBLE, -s * CASE WHEN coalesce(is_image_chunk, false) THEN 0.45::DOUBLE ELSE 0.85::DOUBLE END), 6) AS score,
+SELECT query_id, id, score FROM (SELECT query_id, f.id, coalesce(is_image_chunk, false) AS image, round(greatest(0.24::DOUBLE, -s * CASE WHEN coalesce(is_image_chunk, false) THEN 0.45::DOUBLE ELSE 0.85::DOUBLE END), 8) AS score,
   row_number() OVER (PARTITION BY query_id, coalesce(is_image_chunk, false), coalesce(document_id, ''), coalesce(page, -1) ORDER BY s, from_id, pos, f.id) AS n FROM first f JOIN {CHUNKS} c ON c.id = f.id) WHERE NOT image OR n = 1""",
     "coarse_filter": _HITS + " SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM hits WHERE score >= 0.5 QUALIFY rank <= 10",
     "parent_aggregate": _HITS + "," + _PARENTS + " SELECT query_id, id, best_child, score FROM parents",
