@@ -105,11 +105,11 @@ class PrunedGraph:
         ids = np.full((m, beam), -1, np.int32)
         sims = np.full((m, beam), -2.0, np.float32)
         opened = np.ones((m, beam), bool)
-        seen = np.zeros((m, n), bool)
+        flat = np.zeros(m * n, bool)  # seen, by query and node
         first = np.full(m, self.entry, np.int32) if start is None else start.astype(np.int32)
         ids[:, 0], opened[:, 0] = first, False
         sims[:, 0] = np.einsum("qd,qd->q", q, self.x[first])
-        seen[np.arange(m), first] = True
+        flat[np.arange(m) * n + first] = True
         active = np.arange(m)
         while len(active):
             closed = np.where(opened[active], -3.0, sims[active])
@@ -123,15 +123,18 @@ class PrunedGraph:
             near = self.edges[np.where(good, ids[active[:, None], at], 0)]
             near[~good] = -1
             near = near.reshape(len(active), -1)
-            valid = (near >= 0) & ~seen[active[:, None], near]
-            row, col = np.nonzero(valid)
-            node = near[row, col]
-            # A node may be reached twice in one step.
-            once = np.unique(row.astype(np.int64) * n + node)
-            row, node = once // n, (once % n).astype(np.int32)
-            seen[active[row], node] = True
-            s = np.einsum("kd,kd->k", self.x[node], q[active[row]])
+            # Cells of ``seen`` of all neighbours; a node may be reached twice in one step.
+            once = (near + np.arange(len(active))[:, None] * n)[near >= 0]
+            cell = once + np.repeat((active - np.arange(len(active))) * n, (near >= 0).sum(axis=1))
+            once = once[~flat.take(cell)]
+            once.sort()
+            if len(once):
+                once = once[np.concatenate(([True], once[1:] != once[:-1]))]
+            row = once // n
+            node = (once - row * n).astype(np.int32)
+            flat[active[row] * n + node] = True
             count = np.bincount(row, minlength=len(active))
+            s = np.einsum("kd,kd->k", self.x.take(node, axis=0), np.repeat(q[active], count, axis=0))
             most = int(count.max()) if len(count) else 0
             if not most:
                 continue
