@@ -170,11 +170,13 @@ def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 2, include: list[str]
         ok = ok & ~F.contains("url", F.lit(word))
     if include:
         ok = ok & F.exists(F.array(*[F.lit(w) for w in include]), lambda w: F.contains("url", w))
-    graph = pages.select(clean(F.col("url")).alias("from"), F.explode("links").alias("to")).select("from", clean(F.col("to")).alias("url")).filter(host(F.col("from")) == host(F.col("url"))).filter(ok).distinct()
+    linked = pages.select(clean(F.col("url")).alias("from_url"), F.explode("links").alias("to")).select("from_url", clean(F.col("to")).alias("url"))
+    graph = linked.filter(host(F.col("from_url")) == host(F.col("url"))).filter(ok).distinct().withColumnRenamed("url", "to_url")
     level = seeds.select(clean(F.col("url")).alias("url")).distinct().withColumn("level", F.lit(0))
     seen = level
     for k in range(1, depth + 1):
-        level = level.join(graph, level["url"] == graph["from"]).select(graph["url"].alias("url")).distinct().join(seen, "url", "left_anti").withColumn("level", F.lit(k))
+        reached = level.join(graph, F.col("url") == F.col("from_url")).select(F.col("to_url").alias("url")).distinct()
+        level = reached.join(seen, "url", "left_anti").withColumn("level", F.lit(k))
         seen = seen.unionByName(level)
     return seen.join(pages.select(clean(F.col("url")).alias("url")).distinct(), "url", "left_semi")
 
