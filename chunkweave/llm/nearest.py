@@ -20,10 +20,10 @@ from chunkweave.runtime import broadcast_if_small, spread, written
 
 #: Vectors in a shard, about.
 SHARD_ROWS = 4000
-#: Vectors of the sample that centroids are fitted on, at most about.
-SAMPLE_ROWS = 20_000
-#: Most centroids; beyond, shards of a centroid are split by hash and all of them are searched.
-MOST_CELLS = 1024
+#: Vectors of the sample that centroids are fitted on: at least and at most about.
+SAMPLE_ROWS, MOST_SAMPLE_ROWS = 20_000, 100_000
+#: Most centroids; beyond (about 65 million vectors), shards of a centroid are split by hash and all of them are searched.
+MOST_CELLS = 8192
 _SEARCH = 512
 
 
@@ -38,9 +38,11 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray
     rng = np.random.default_rng(7)
     centre = sample[rng.choice(len(sample), cells, replace=False)].copy()
     for _ in range(rounds):
-        own = (sample @ centre.T).argmax(axis=1)
+        own = np.concatenate([(sample[b : b + 4096] @ centre.T).argmax(axis=1) for b in range(0, len(sample), 4096)])
+        order = np.argsort(own, kind="stable")
+        heads, first = np.unique(own[order], return_index=True)
         total = np.zeros_like(centre)
-        np.add.at(total, own, sample)
+        total[heads] = np.add.reduceat(sample[order], first, axis=0)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         centre = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), centre)
     return centre.astype(np.float32)
@@ -80,14 +82,16 @@ def shard_neighbours(
     ``probes``: shards searched per node, None for all of them.
     """
     spark = nodes.sparkSession
-    step = max(1, count // SAMPLE_ROWS)
-    sample = nodes.filter(F.pmod(F.xxhash64("nid"), F.lit(step)) == 0).select("vec").toPandas()["vec"]  # about SAMPLE_ROWS
+    cells = min(MOST_CELLS, max(1, round(count / SHARD_ROWS)))
+    step = max(1, count // min(MOST_SAMPLE_ROWS, max(SAMPLE_ROWS, 12 * cells)))
+    sample = nodes.filter(F.pmod(F.xxhash64("nid"), F.lit(step)) == 0).select("vec").toPandas()["vec"]  # a bounded sample
     points = np.array([np.asarray(v, np.float64) for v in sample]).reshape(-1, size)
     points = (points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)).astype(np.float32)
-    cells = min(MOST_CELLS, max(1, round(count / SHARD_ROWS)), max(1, len(points)))
+    cells = min(cells, max(1, len(points)))
     if len(points):
         centre = fit_centroids(points, cells)
-        share = np.bincount((points @ centre.T).argmax(axis=1), minlength=cells) / len(points)
+        own = np.concatenate([(points[b : b + 4096] @ centre.T).argmax(axis=1) for b in range(0, len(points), 4096)])
+        share = np.bincount(own, minlength=cells) / len(points)
     else:
         centre, share = np.zeros((1, size), np.float32), np.ones(1)
     parts = np.maximum(1, np.ceil(share * count / (2 * SHARD_ROWS))).astype(np.int64)
