@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,23 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that they need no copy of it."""
+    context = spark.sparkContext
+    if getattr(context, "_chunkweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="chunkweave-")) / "chunkweave.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, f"{root.name}/{source.relative_to(root)}")
+    context.addPyFile(str(archive))
+    context._chunkweave_shipped = True
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
