@@ -75,11 +75,11 @@ def numbered_vectors(vectors: DataFrame, key: str, vec: str, order: Sequence[str
 
 
 def shard_neighbours(
-    nodes: DataFrame, count: int, size: int, k: int, least: float, probes: int | None, queries: DataFrame | None = None, degree: int = 16, beam: int = 24, reach: int = 16
+    nodes: DataFrame, count: int, size: int, k: int, least: float, margin: float | None, queries: DataFrame | None = None, degree: int = 16, beam: int = 24, reach: int = 16
 ) -> DataFrame:
     """``q, n, sim``: for every node (or those of ``queries.nid``) its best nodes of at least ``least`` in the shards searched.
 
-    ``probes``: shards searched per node, None for all of them.
+    A node visits every shard whose centroid is at most ``margin`` farther (in cosine) than its nearest; None: all.
     """
     spark = nodes.sparkSession
     cells = min(MOST_CELLS, max(1, round(count / SHARD_ROWS)))
@@ -97,7 +97,7 @@ def shard_neighbours(
     parts = np.maximum(1, np.ceil(share * count / (2 * SHARD_ROWS))).astype(np.int64)
     base = np.concatenate(([0], np.cumsum(parts)))
     shared = spark.sparkContext.broadcast((centre, parts, base))
-    visits = cells if probes is None else min(probes, cells)
+    within = 3.0 if margin is None else margin
     asked = nodes.withColumn("asks", F.lit(True))
     if queries is not None:
         asked = nodes.join(broadcast_if_small(queries.select("nid").distinct().withColumn("asks", F.lit(True))), "nid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
@@ -111,16 +111,17 @@ def shard_neighbours(
                 x = _unit(batch.column(1), size)
                 nid = batch.column(0).to_numpy()
                 asks = batch.column(2).to_numpy(zero_copy_only=False)
-                near = np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :visits]
-                own = base[near[:, 0]] + (nid * np.int64(0x9E3779B1) >> np.int64(7)) % parts[near[:, 0]]
+                sims = x @ centre.T
+                nearest = sims.argmax(axis=1)
+                own = base[nearest] + (nid * np.int64(0x9E3779B1) >> np.int64(7)) % parts[nearest]
                 shard, row, home = [own], [np.arange(len(x))], [np.ones(len(x), bool)]
-                for p in range(visits):
-                    for extra in range(int(parts[near[:, p]].max())):
-                        s = base[near[:, p]] + extra
-                        go = asks & (extra < parts[near[:, p]]) & (s != own)
-                        shard.append(s[go])
-                        row.append(np.flatnonzero(go))
-                        home.append(np.zeros(int(go.sum()), bool))
+                at, cell = np.nonzero((sims >= sims.max(axis=1, keepdims=True) - within) & asks[:, None])
+                for extra in range(int(parts[cell].max()) if len(cell) else 0):
+                    s = base[cell] + extra
+                    go = (extra < parts[cell]) & (s != own[at])
+                    shard.append(s[go])
+                    row.append(at[go])
+                    home.append(np.zeros(int(go.sum()), bool))
                 shard, row, home = np.concatenate(shard), np.concatenate(row), np.concatenate(home)
                 # Visitors travel as 16-bit fixed point (error of a cosine below 1e-5), residents in full.
                 scale = np.abs(x).max(axis=1)
@@ -178,7 +179,7 @@ def nearest_vectors(
     k: int = 10,
     size: int = 64,
     least: float = -1.0,
-    probes: int | None = 3,
+    margin: float | None = 0.13,
     queries: DataFrame | None = None,
     degree: int = 16,
     beam: int = 24,
@@ -199,7 +200,7 @@ def nearest_vectors(
         asked = written(wanted.join(copies, "mid", "left").select("mid", F.coalesce("nid", "mid").alias("nid")), "asked")
     nodes = written(nodes, "vector-nodes") if queries is not None else nodes
     count = ids.count()
-    found = shard_neighbours(nodes, count, size, k, least, probes, asked, degree, beam, reach)
+    found = shard_neighbours(nodes, count, size, k, least, margin, asked, degree, beam, reach)
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "n")
     ranked = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select("q", "n", "sim")
     # Nodes of several ids: the first k + 1 ids of a node are enough for any list it appears in.

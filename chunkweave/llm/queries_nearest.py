@@ -33,7 +33,7 @@ def _asked(vectors: DataFrame) -> DataFrame:
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of each asked chunk among all chunks, every shard searched."""
     vectors = chunk_vectors(spark, sf_dir)
-    near = nearest_vectors(vectors, "chunk_id", "vec", _ORDER, probes=None, queries=_asked(vectors), degree=24, beam=32, reach=32)
+    near = nearest_vectors(vectors, "chunk_id", "vec", _ORDER, margin=None, queries=_asked(vectors), degree=24, beam=32, reach=32)
     return near.select("id", "other_id", F.round(F.col("sim").cast("double"), 4).alias("sim"))
 
 

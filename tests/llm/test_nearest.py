@@ -47,6 +47,6 @@ def test_neighbours_with_dirty_rows(spark):
     hot = {p for p in want if p[0].startswith("d")}
     assert hot <= got
     asked = spark.createDataFrame([("c0000",), ("d0003",)], "id string")
-    few = {(r.id, r.other_id) for r in nearest_vectors(df, "chunk_id", "vec", ["at"], least=0.85, probes=None, queries=asked).collect()}
+    few = {(r.id, r.other_id) for r in nearest_vectors(df, "chunk_id", "vec", ["at"], least=0.85, margin=None, queries=asked).collect()}
     assert few == {p for p in want if p[0] in ("c0000", "d0003")}
     assert nearest_vectors(df.limit(0), "chunk_id", "vec", ["at"]).count() == 0
