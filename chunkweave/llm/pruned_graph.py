@@ -11,10 +11,11 @@ class PrunedGraph:
     Nodes enter in random order and in batches: a greedy beam search on the graph so far proposes
     neighbours, members of the same batch are proposed as well, and relaxed distance pruning (a candidate
     is dropped if ``alpha`` times its distance to a kept neighbour is at most its distance to the node)
-    keeps the diverse ones. Reverse edges are added and over-full nodes are pruned again.
+    keeps the diverse ones. Reverse edges are added and over-full nodes are pruned again. Searches begin at
+    the best few of the first ``pivots`` nodes, which are spread over the whole set by the random order.
     """
 
-    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 24, alpha: float = 1.2, batch: int = 512, seed: int = 1) -> None:
+    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 24, alpha: float = 1.2, batch: int = 512, pivots: int = 512, seed: int = 1) -> None:
         self.x = np.ascontiguousarray(x, dtype=np.float32)
         self.degree, self.beam, self.alpha = degree, beam, alpha
         n = len(self.x)
@@ -22,11 +23,13 @@ class PrunedGraph:
         self.entry = int(np.argmax(self.x @ self.x.mean(axis=0))) if n else 0
         order = np.random.default_rng(seed).permutation(n).astype(np.int32)
         order = np.concatenate(([self.entry], order[order != self.entry])).astype(np.int32) if n else order
+        self.pivots = order[:1]
         done = 1
         while done < n:
             size = min(batch, max(16, done), n - done)
             self._insert(order[done : done + size])
             done += size
+            self.pivots = order[: min(done, pivots)]
 
     def _insert(self, new: np.ndarray) -> None:
         found, sims = self.search(self.x[new], self.beam)
@@ -98,7 +101,7 @@ class PrunedGraph:
     def search(self, queries: np.ndarray, beam: int, width: int = 4, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all queries at once: ``(ids, similarities)`` of the ``beam`` best, best first; -1 pads.
 
-        ``start``: one node per query to begin at instead of the entry node.
+        ``start``: one node per query to begin at instead of the best pivots.
         """
         q = np.ascontiguousarray(queries, dtype=np.float32)
         m, n = len(q), len(self.x)
@@ -106,10 +109,17 @@ class PrunedGraph:
         sims = np.full((m, beam), -2.0, np.float32)
         opened = np.ones((m, beam), bool)
         flat = np.zeros(m * n, bool)  # seen, by query and node
-        first = np.full(m, self.entry, np.int32) if start is None else start.astype(np.int32)
-        ids[:, 0], opened[:, 0] = first, False
-        sims[:, 0] = np.einsum("qd,qd->q", q, self.x[first])
-        flat[np.arange(m) * n + first] = True
+        if start is None:
+            near = q @ self.x[self.pivots].T
+            few = min(width, beam, len(self.pivots))
+            at = np.argpartition(-near, few - 1, axis=1)[:, :few]
+            first, first_sims = self.pivots[at], np.take_along_axis(near, at, 1)
+        else:
+            first = start.astype(np.int32)[:, None]
+            first_sims = np.einsum("qd,qd->q", q, self.x[first[:, 0]])[:, None]
+            few = 1
+        ids[:, :few], sims[:, :few], opened[:, :few] = first, first_sims, False
+        flat[(np.arange(m)[:, None] * n + first).ravel()] = True
         active = np.arange(m)
         while len(active):
             closed = np.where(opened[active], -3.0, sims[active])
