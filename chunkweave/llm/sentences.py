@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 # Abbreviations before which and after which the same sentence goes on.
 NEVER_LAST = frozenset(
     "dr mr mrs ms prof dept gen col capt lt sgt rev hon st mt fig figs sec secs vol vols ch chap eq eqs ref refs "
-    "tab no nos nr abb art approx vs v cf e.g i.e viz resp max min est temp ca ggf bzw vgl inkl exkl evtl z.b d.h "
+    "tab no nos nr abb art approx vs v cf e.g i.e viz resp max est temp ca ggf bzw vgl inkl exkl evtl z.b d.h "
     "u.a o.ä s.o s.u i.d.r z.t hr fr str bd hrsg geb ing dipl p pp ed eds rd av ave blvd dist fr mme mlle sra srta "
     "क्र डॉ श्री सं प्रो पृ ص د م".split()
 )
 #: These end a sentence if no lower-case letter follows.
-MAY_BE_LAST = frozenset("etc usw a.m p.m inc ltd co corp jr sr al u.s u.k bros usf".split())
+MAY_BE_LAST = frozenset("etc usw min a.m p.m inc ltd co corp jr sr al u.s u.k bros usf".split())
 #: These are abbreviations only before a number.
 BEFORE_NUMBER = frozenset(("no", "nos", "art", "p", "pp", "ch", "v", "م", "د", "ص"))
 #: A number with a full stop after one of these words, or before a month, is a German ordinal.
@@ -88,6 +88,17 @@ def _lower_follows(para: str, at: int) -> bool:
     return at < len(para) and para[at].islower()
 
 
+def _abbreviation(para: str, begin: int, start: int):
+    """The token before a full stop, and its word where it may be an abbreviation: not in units such as mL/min, nor before a wide stop."""
+    token = _TOKEN.search(para, max(begin, start - 40), start)
+    if not token:
+        return None, ""
+    word = token.group().lower()
+    if not word.isdigit() and (para[start] == "．" or para[token.start() - 1 : token.start()] == "/"):
+        return token, "" if len(word) > 1 else word
+    return token, word
+
+
 def _stop_ends(para: str, begin: int, start: int, end: int) -> bool:
     """Does the full stop at ``para[start:end]`` end the unit that began at ``begin``?"""
     before, after = para[start - 1 : start], para[end : end + 1]
@@ -98,8 +109,7 @@ def _stop_ends(para: str, begin: int, start: int, end: int) -> bool:
             return False
         if not (_CJK.match(before) or before.isalpha() or before in "%℃°”」）)"):
             return False  # a digit in front: a number or an item
-        token = _TOKEN.search(para, max(begin, start - 40), start)
-        return not (token and token.group().lower() in NEVER_LAST) and not _ITEM.match(para[begin:start])
+        return _abbreviation(para, begin, start)[1] not in NEVER_LAST and not _ITEM.match(para[begin:start])
     if _ITEM.match(para[begin:start][:16]) and start - begin <= 16:
         return False
     rest = _BLANKS.match(para, end).end()
@@ -110,8 +120,7 @@ def _stop_ends(para: str, begin: int, start: int, end: int) -> bool:
         while rest < len(para) and para[rest].isspace():
             rest += 1
         follows = para[rest : rest + 1]
-    token = _TOKEN.search(para, max(begin, start - 40), start)
-    word = token.group().lower() if token else ""
+    token, word = _abbreviation(para, begin, start)
     if word.isdigit() and follows:
         lead = _WORD_BEFORE.search(para, max(begin, start - 40), token.start())
         if lead and lead.group(1).lower() in ORDINAL_AFTER:

@@ -18,6 +18,7 @@ def units(text):
         ("The Dept. Manual, i.e. the book, was read at 9 a.m. on site. Done.", ["The Dept. Manual, i.e. the book, was read at 9 a.m. on site.", "Done."]),
         ("It reached 87.7 mg/L. The pump (see No. 73. Note it.) failed.", ["It reached 87.7 mg/L.", "The pump (see No. 73. Note it.) failed."]),
         ("Version 2.7.2 of plan.v2.pdf replaces Vol. II of it. Yes!", ["Version 2.7.2 of plan.v2.pdf replaces Vol. II of it.", "Yes!"]),
+        ("流量为68.4mL/min．依据7 mL/min. 然后No．3。", ["流量为68.4mL/min．", "依据7 mL/min.", "然后No．3。"]),
         ("It waits ... and goes. Really?! Yes.", ["It waits ... and goes.", "Really?!", "Yes."]),
         ('He said "Stop it. Check it." Then he left.', ['He said "Stop it. Check it."', "Then he left."]),
         ("Am 19. Mai in der 15. Schicht usw. Wurde z. B. geprüft.", ["Am 19. Mai in der 15. Schicht usw.", "Wurde z. B. geprüft."]),
