@@ -15,7 +15,7 @@ def export_names(spark, sf_dir):
 
 def vector_csv(spark, sf_dir):
     own = table(spark, sf_dir, "embeddings")
-    return own.select("vec_id", F.md5(naming.vector_text(F.transform("embedding", lambda x: F.round(x.cast("double"), 3)))).alias("embedding"))
+    return own.select("vec_id", F.md5(naming.vector_text("embedding")).alias("embedding"))
 
 
 QUERIES = {"export_names": export_names, "vector_csv": vector_csv}
@@ -23,5 +23,5 @@ SQL = {
     "export_names": r"""SELECT id, left(coalesce(nullif(trim(regexp_replace(regexp_replace(coalesce(filename, ''), '\.[A-Za-z0-9]{1,5}$', ''), '[\\/:*?"<>|\x00-\x1f]+', '_', 'g')), ''), 'document'), 120) || '-chunks.csv' AS name,
   left(file_hash, 6) || '****' || right(file_hash, 4) AS hash, left(coalesce(nullif(trim(coalesce(source_storage, '')), ''), 'unknown'), 3) AS storage
 FROM kb_documents QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at) = 1""",
-    "vector_csv": "SELECT vec_id, md5(array_to_string(list_transform(embedding, lambda x: printf('%.6f', round(x::DOUBLE, 3))), ',')) AS embedding FROM embeddings",
+    "vector_csv": "SELECT vec_id, md5(array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',')) AS embedding FROM embeddings",
 }
