@@ -179,11 +179,11 @@ def nearest_vectors(
     k: int = 10,
     size: int = 64,
     least: float = -1.0,
-    margin: float | None = 0.13,
+    margin: float | None = 0.15,
     queries: DataFrame | None = None,
     degree: int = 16,
     beam: int = 24,
-    reach: int = 16,
+    reach: int = 18,
 ) -> DataFrame:
     """``id, other_id, sim``: the ``k`` most similar other ids of every id, those of at least ``least``.
 
