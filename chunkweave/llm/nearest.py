@@ -29,8 +29,9 @@ _SEARCH = 512
 
 def valid_vector(vec: str, size: int):
     """``size`` numbers, none null, NaN or infinite, and not all zero."""
-    bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.col(vec).isNotNull() & (F.size(vec) == size) & ~bad & F.exists(vec, lambda x: x != 0)
+    top, low, endless = F.array_max(vec), F.array_min(vec), float("inf")  # NaN is the greatest of all
+    numbers = (top < endless) & (low > -endless) & ((top != 0) | (low != 0))
+    return F.col(vec).isNotNull() & (F.size(vec) == size) & F.coalesce(numbers, F.lit(False)) & ~F.exists(vec, lambda x: x.isNull())
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
@@ -166,8 +167,8 @@ def shard_neighbours(
         return pa.table({"q": np.concatenate(out_q), "n": np.concatenate(out_n), "sim": np.concatenate(out_s)})
 
     routed = asked.mapInArrow(route, "shard int, nid bigint, home boolean, asks boolean, data binary")
-    # About as many groups as tasks can share; each group is one bounded shard.
-    tasks = int(min(base[-1], max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    # More partitions than shards, so that few tasks get two of them; a shard is bounded, whatever the collection.
+    tasks = int(min(2 * base[-1], 10_000))
     return routed.repartition(tasks, "shard").groupBy("shard").applyInArrow(answer, "q bigint, n bigint, sim float")
 
 
