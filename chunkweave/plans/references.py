@@ -65,7 +65,7 @@ def _orphans(spark: SparkSession, sf_dir: str, targets: DataFrame) -> DataFrame:
         match="partial",
         ref_at="created_at",
         target_at="created_at",
-    ).withColumn("period", F.date_format("created_at", "yyyy-MM"))
+    ).withColumn("period", F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
