@@ -86,8 +86,9 @@ def cut_points(text: str, limit: int, overlap: int, block: int = 4) -> list[tupl
     pieces, start, last, i = [], 0, 0, 0
     while n - start > limit:
         top = start + limit
-        low = last + max(1, (top - last) // 3)  # no slivers while a later gap exists
-        while i < len(depth) and ends[i] <= last:
+        floor = max(last, start + overlap)  # a cut must leave room for the overlap
+        low = floor + max(1, (top - floor) // 3)  # no slivers while a later gap exists
+        while i < len(depth) and ends[i] <= floor:
             i += 1
         best, j = None, i
         late = None
@@ -103,18 +104,18 @@ def cut_points(text: str, limit: int, overlap: int, block: int = 4) -> list[tupl
         elif late:
             end, kind = late, "valley"
         else:
-            window = text[last + 1 : top + 1]
-            marks = [m.end() for m in _CLAUSE_END.finditer(window) if last + 1 + m.end() <= top]
-            spaces = max(window.rfind(" ", 0, top - last), window.rfind("\t", 0, top - last))
+            window = text[floor + 1 : top + 1]
+            marks = [m.end() for m in _CLAUSE_END.finditer(window) if floor + 1 + m.end() <= top]
+            spaces = max(window.rfind(" ", 0, top - floor), window.rfind("\t", 0, top - floor))
             if marks:
-                end, kind = last + 1 + marks[-1], "clause"
-            elif spaces >= 0 and last + 2 + spaces <= top:
-                end, kind = last + 2 + spaces, "space"
+                end, kind = floor + 1 + marks[-1], "clause"
+            elif spaces >= 0 and floor + 2 + spaces <= top:
+                end, kind = floor + 2 + spaces, "space"
             else:
                 end, kind = top, "hard"
-                while end > last + 1 and (unicodedata.combining(text[end]) or unicodedata.category(text[end])[0] == "M" or text[end] == "‍"):
+                while end > floor + 1 and (unicodedata.combining(text[end]) or unicodedata.category(text[end])[0] == "M" or text[end] == "‍"):
                     end -= 1
-                if end == last + 1:
+                if end == floor + 1:
                     end = top
         pieces.append((start, end, kind))
         last, start = end, max(end - overlap, start + 1)

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from chunkweave.llm.segment import cut_points, split_oversized
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.text(alphabet="ab 。.\n, 字é́|", max_size=700), st.integers(20, 120))
 def test_pieces_rebuild_the_text(text, limit):
     overlap = limit // 5
