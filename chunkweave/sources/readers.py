@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -96,6 +97,86 @@ def distinct_blocks(blocks: DataFrame) -> DataFrame:
     return named.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "stripped")
 
 
+# Names under which providers give the parts of a record.
+RECORD_KEYS = {
+    "nested": ("blocks", "pages", "layouts", "paragraphs", "layoutInfo", "visualLayoutInfo", "outputFormatResult", "outputImageUrls"),
+    "type": ("type", "category", "blockType", "layoutType", "class"),
+    "text": ("text", "content", "markdown", "html", "textContent", "contentText"),
+    "html": ("html", "tableHtml", "table_html"),
+    "image": ("imagePath", "image_path", "imgPath", "img_path", "imageUrl", "image_url", "pageImageUrl", "page_image_url", "originImageUrl", "origin_image_url", "url", "src"),
+    "page": ("page", "pageNo", "pageNumber", "pageNum", "pageIdCurDoc", "page_id_cur_doc"),
+}
+RECORD_TYPES = {
+    "title": "title", "header": "title", "heading": "title", "table": "table", "tablebody": "table", "table_html": "table",
+    "image": "image", "figure": "image", "pic": "image", "picture": "image", "figurecaption": "image", "figure_caption": "image",
+}
+
+
+def _given(record: dict, what: str):
+    return next((record[k] for k in RECORD_KEYS[what] if record.get(k) is not None), None)
+
+
+def _page_of(record: dict, inherited: int) -> int:
+    for value, first in ((record.get("page_idx"), 0), (_given(record, "page"), 1)):
+        if value is None:
+            continue
+        value = value[0] if isinstance(value, list) and value else value
+        try:
+            return max(int(value) - first, 0)
+        except (TypeError, ValueError):
+            return inherited if first == 0 else 0
+    return inherited
+
+
+def walk_records(data) -> Iterator[tuple[str, str, int, str | None, str | None]]:
+    """(type, text, page, table html, image path) of the leaves of nested records, in order.
+
+    A record that holds records gives them its page; leaves without text are kept only as images. The walk
+    keeps its own stack, so depth is no limit.
+    """
+    stack = [(data, 0)]
+    while stack:
+        record, page = stack.pop()
+        if isinstance(record, list):
+            stack.extend((r, page) for r in reversed(record))
+            continue
+        if not isinstance(record, dict):
+            continue
+        page = _page_of(record, page)
+        inner = _given(record, "nested")
+        if isinstance(inner, (list, dict)):
+            stack.append((inner, page))
+            continue
+        image = _given(record, "image")
+        name = str(_given(record, "type") or ("image" if image else "text")).lower()
+        kind = RECORD_TYPES.get(name, "text")
+        text = str(_given(record, "text") or "").strip()
+        if not text and kind != "image":
+            continue
+        table = str(_given(record, "html") or text) if kind == "table" else None
+        yield kind, text, page, table, None if image is None else str(image)
+
+
+def nested_record_blocks(documents: DataFrame, key: str, payload: str) -> DataFrame:
+    """Blocks of a provider's nested JSON; each type, page, image and text once per document. Broken JSON gives none."""
+
+    def flatten(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for doc, raw in zip(pdf["doc_id"], pdf["payload"]):
+                try:
+                    data = json.loads(raw) if raw else []
+                except ValueError:
+                    continue
+                rows += [(doc, k, *leaf) for k, leaf in enumerate(walk_records(data))]
+            yield pd.DataFrame(rows, columns=["doc_id", "block_pos", "type", "text", "page_idx", "table_html", "image_path"])
+
+    fields = documents.select(F.col(key).alias("doc_id"), F.col(payload).alias("payload"))
+    kind = fields.schema["doc_id"].dataType.simpleString()
+    blocks = fields.mapInPandas(flatten, f"doc_id {kind}, block_pos int, type string, text string, page_idx int, table_html string, image_path string")
+    return distinct_blocks(blocks)
+
+
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

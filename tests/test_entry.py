@@ -1,6 +1,7 @@
 """Every registered query runs, has a stable schema and, where it has SQL, equals it (smallest tables)."""
 
 import os
+import re
 from collections import Counter
 from decimal import Decimal
 
@@ -47,7 +48,7 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SQL and not n.startswith("p")))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SQL and not re.match(r"p\d+_", n)))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() >= 0
 

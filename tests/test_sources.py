@@ -29,6 +29,17 @@ def test_markdown(spark):
     assert readers.distinct_blocks(twice).count() == 6
 
 
+def test_nested_records(spark):
+    data = {"pages": [{"pageNo": 2, "layouts": [{"type": "Heading", "text": " T "}, {"text": "x"}, {"text": "x"}, {"text": " "}]}, {"page_idx": 4, "blocks": {"category": "table", "html": "<t/>"}}, {"imageUrl": "a.png"}]}
+    deep = {"text": "bottom"}
+    for _ in range(3000):
+        deep = {"blocks": [deep]}
+    df = spark.createDataFrame([("d", json.dumps(data)), ("e", "{broken"), ("f", None)], "doc string, payload string")
+    got = [(r.type, r.text, r.page_idx, r.table_html, r.image_path) for r in readers.nested_record_blocks(df, "doc", "payload").orderBy("block_pos").collect()]
+    assert got == [("title", "T", 1, None, None), ("text", "x", 1, None, None), ("table", "<t/>", 4, "<t/>", None), ("image", "", 0, None, "a.png")]
+    assert [leaf[1] for leaf in readers.walk_records(deep)] == ["bottom"]
+
+
 def test_pages(spark):
     df = spark.createDataFrame([("3",), ("0",), (None,), ("[7, 8]",), ("x",)], "p string")
     assert [r[0] for r in df.select(readers.page_index("p")).collect()] == [2, 0, 0, 6, 0]
