@@ -58,6 +58,7 @@ FREQUENT_WORDS = 50_000
 
 _WORD = re.compile(r"[A-Za-z0-9]+")
 _HAN = "㐀-鿿"
+_ASTRAL = re.compile(r"[A-Za-z0-9]*[\U00010000-\U0010ffff][A-Za-z0-9\U00010000-\U0010ffff]*")
 _RUN = re.compile(f"[{_HAN}]+")
 _CONFUSABLE = re.compile("[" + "".join(sorted(_READINGS)) + "]")
 _SPACE = re.compile(r"\s+")
@@ -233,6 +234,8 @@ def _words(lines: list[str], furniture: list[str | None], broken: list[tuple[int
         if furniture[k]:
             out.append([])
             continue
+        if not line.isascii() and _ASTRAL.search(line):  # words that pictographs were put into
+            line = _ASTRAL.sub(" ", line)
         found = [w.lower() for w in _WORD.findall(line)]
         if k in begins:
             found = found[1:]
