@@ -53,7 +53,7 @@ SECOND_PRICE = 0.1
 CONTEXT_WORDS, VECTOR_SIZE, SHIFT = 1000, 32, 1.0
 #: Vectors of words with this many neighbours must have at least this cosine with the correction's.
 LEAST_SEEN, LEAST_COSINE = 30, 0.2
-#: Words not looked at in the second pass because they are among this many most frequent ones.
+#: So many of the most frequent words that are no misreadings are left out of the lookup (a shortcut without effect).
 FREQUENT_WORDS = 50_000
 
 _WORD = re.compile(r"[A-Za-z0-9]+")
@@ -466,7 +466,7 @@ def han_readings(pairs: dict[str, int], text: str) -> list[tuple[int, str]]:
     return out
 
 
-def noise_candidates(fields: DataFrame, counts: DataFrame) -> DataFrame:
+def noise_candidates(fields: DataFrame, counts: DataFrame, links: DataFrame) -> DataFrame:
     """``id, line_no, noise, token, cut, next_no``: labels, and words still to be looked up in the counts.
 
     ``noise`` is a final label if ``token`` is null; *broken* and *rare* wait for their word.
@@ -476,7 +476,9 @@ def noise_candidates(fields: DataFrame, counts: DataFrame) -> DataFrame:
     # Pairs with a confusable glyph: bounded by the glyph table times the characters in use.
     listed = counts.filter(F.col("kind") == PAIR).select("token", "n").toPandas()
     pairs = dict(zip(listed["token"], listed["n"].astype(int)))
-    frequent = counts.filter((F.col("kind") == WORD) & (F.col("n") >= 50 * LEAST_RATIO)).orderBy(F.desc("n"), "token").limit(FREQUENT_WORDS).select("token").toPandas()["token"]
+    # Words that are no misreadings need no lookup; the most frequent ones of them are most of the text.
+    right = counts.filter(F.col("kind") == WORD).select("token", "n").join(links.select("token"), "token", "left_anti")
+    frequent = right.orderBy(F.desc("n"), "token").limit(FREQUENT_WORDS).select("token").toPandas()["token"]
     shared = spark.sparkContext.broadcast((pairs, frozenset(frequent)))
     joined = fields.join(facts, "file", "left").select("id", "content", "page", "table", "image", "layer", "file", "book", "offset", "roman_offset", "chapters")
 
@@ -547,7 +549,7 @@ def _scan(df: DataFrame) -> dict[str, DataFrame]:
     fields = spread(prepared(df))
     counts = written(first_pass(fields.select("id", "content", "page", "table", "image", "layer", "file", "title")), "scan-counts")
     links = written(glyph_links(counts), "glyph-links")
-    found = written(noise_candidates(fields, counts), "noise-candidates")
+    found = written(noise_candidates(fields, counts, links), "noise-candidates")
     words = counts.filter(F.col("kind") == WORD).select("token", F.lit(True).alias("whole"))
     known = words.join(links, "token", "full_outer")
     waiting = found.filter("token IS NOT NULL").join(known, "token")
