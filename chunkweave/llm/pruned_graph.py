@@ -20,6 +20,8 @@ class PrunedGraph:
         self.degree, self.beam, self.alpha = degree, beam, alpha
         n = len(self.x)
         self.edges = np.full((n, degree), -1, np.int32)
+        self._own = np.arange(n, dtype=np.int32)[:, None]
+        self._hops = np.repeat(self._own, degree, axis=1)  # edges, with the node itself for missing ones
         self.entry = int(np.argmax(self.x @ self.x.mean(axis=0))) if n else 0
         order = np.random.default_rng(seed).permutation(n).astype(np.int32)
         order = np.concatenate(([self.entry], order[order != self.entry])).astype(np.int32) if n else order
@@ -45,6 +47,7 @@ class PrunedGraph:
         dst = self.edges[new].ravel()
         ok = dst >= 0
         self._add_reverse(dst[ok], src[ok])
+        self._hops = np.where(self.edges < 0, self._own, self.edges)
 
     def _pruned(self, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
         """Relaxed pruning of candidates per row; ids of -1 are empty."""
@@ -120,6 +123,7 @@ class PrunedGraph:
             few = 1
         ids[:, :few], sims[:, :few], opened[:, :few] = first, first_sims, False
         flat[(np.arange(m)[:, None] * n + first).ravel()] = True
+        base = np.arange(m)[:, None] * n
         active = np.arange(m)
         while len(active):
             closed = np.where(opened[active], -3.0, sims[active])
@@ -130,13 +134,13 @@ class PrunedGraph:
             if not len(active):
                 break
             opened[active[:, None], at] = True
-            near = self.edges[np.where(good, ids[active[:, None], at], 0)]
-            near[~good] = -1
-            near = near.reshape(len(active), -1)
-            # Cells of ``seen`` of all neighbours; a node may be reached twice in one step.
-            once = (near + np.arange(len(active))[:, None] * n)[near >= 0]
-            cell = once + np.repeat((active - np.arange(len(active))) * n, (near >= 0).sum(axis=1))
-            once = once[~flat.take(cell)]
+            node = ids[active[:, None], at]
+            # A place without a node to open repeats one whose neighbours are all seen by then.
+            node = np.where(good, node, node[np.arange(len(node)), good.argmax(axis=1)][:, None])
+            near = self._hops.take(node, axis=0).reshape(len(active), -1).astype(np.int64)
+            fresh_at = ~flat.take(near + base[active])
+            # A node may be reached twice in one step.
+            once = (near + base[: len(active)])[fresh_at]
             once.sort()
             if len(once):
                 once = once[np.concatenate(([True], once[1:] != once[:-1]))]
