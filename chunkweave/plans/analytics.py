@@ -106,7 +106,7 @@ def doc_export(spark, sf_dir):
 
 
 def draft_merge(spark, sf_dir):
-    own = chunks(spark, sf_dir, "document_id", "page", "chunk_index", "content", "related_ids").filter("document_id IS NOT NULL AND page < 3")
+    own = chunks(spark, sf_dir, "document_id", "page", "chunk_index", "content", "related_ids").filter("document_id IS NOT NULL")
     drafts = own.withColumn("related", F.from_json("related_ids", "array<string>"))
     merged = merge.merge_drafts(drafts, ["document_id", "page"], "chunk_index", "content", "related")
     return merged.select("document_id", "page", F.md5("content").alias("content"), F.size("related_ids").alias("related"), "drafts")
