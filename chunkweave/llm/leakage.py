@@ -196,25 +196,63 @@ def leaked_items(
     return both.mapInArrow(exact, schema).groupBy("doc_key", "item_key").agg(F.max("run").alias("run"))
 
 
+def _best_windows(hits, near: int, drift: int, least: int):
+    """``row, item, terms`` of the pairs in ``hits`` (``row, item, field, offset, term, pos, rare``) that match."""
+    import pandas as pd
+
+    pair = ["row", "item"]
+    hits = hits[hits.groupby(pair)["term"].transform("nunique") >= least]
+    half, step = near // 2, drift // 2
+    hits = hits.assign(w=hits["pos"] // half, band=(hits["pos"] - hits["offset"]) // step)
+    placed = pd.concat([hits, hits.assign(w=hits["w"] - 1)])
+    aligned = pd.concat([placed, placed.assign(band=placed["band"] - 1)])
+
+    def most(rows, *within: str):
+        return rows.drop_duplicates([*pair, *within, "term"]).groupby([*pair, *within]).size().groupby(level=[0, 1]).max()
+
+    terms = most(placed, "w")
+    near_line = most(aligned, "field", "w", "band").reindex(terms.index, fill_value=0)
+    near_rare = most(placed[placed["rare"]], "w").reindex(terms.index, fill_value=0)
+    return terms[(near_line >= least) | (near_rare >= least)].rename("terms").reset_index()
+
+
 def proximity_matches(
-    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: list[str], rarest: int = 8, near: int = 400, least: int = 3
+    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: list[str], rarest: int = 8, near: int = 400, least: int = 3, drift: int = 32
 ) -> DataFrame:
-    """``doc_key, item_key, terms``: texts holding at least ``least`` of an item's ``rarest`` terms within ``near`` characters.
+    """``doc_key, item_key, terms``: texts holding at least ``least`` of an item's terms along it within ``near`` characters.
 
-    Finds passages that were edited so often that no long run is left. Terms of an item are ranked by
-    document frequency (ties: term); windows of ``near`` characters overlap by half. Defined cases as in
-    :func:`leaked_items`.
+    Finds passages that were edited so often that no long run is left. All terms of an item count, however many
+    texts hold them, where their places in text and item differ by the same number up to ``drift``; the ``rarest``
+    terms (by document frequency, ties: term) count in any order. ``terms``: the item's terms in its fullest window.
+    Windows overlap by half. Defined cases as in :func:`leaked_items`.
     """
+    import pandas as pd
+    from pyspark.sql import Window
+
     phrases = written(item_phrases(items, item_key, item_texts), "phrases")
     postings = written(_restricted(build_postings(docs, key, text), phrases), "postings")
     df = postings.groupBy("term").agg(F.countDistinct("doc_key").alias("df"))
-    from pyspark.sql import Window
-
-    terms = phrases.select("item_key", F.explode("terms").alias("term")).distinct().join(df, "term")
+    listed = phrases.select("item_key", "field", "at", F.posexplode("terms").alias("no", "term"))
+    listed = listed.select("item_key", "field", "term", (F.col("at") + F.col("no") * GRAM).alias("offset")).distinct()
     order = Window.partitionBy("item_key").orderBy("df", "term")
-    rare = terms.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rarest).select("item_key", "term")
-    half = near // 2
-    window = F.explode(F.array(F.floor(F.col("pos") / half), F.floor(F.col("pos") / half) - 1))
-    hits = rare.join(postings, "term").select("doc_key", "item_key", "term", window.alias("w"))
-    counted = hits.groupBy("doc_key", "item_key", "w").agg(F.countDistinct("term").alias("terms"))
-    return counted.groupBy("doc_key", "item_key").agg(F.max("terms").alias("terms")).filter(F.col("terms") >= least)
+    ranked = listed.select("item_key", "term").distinct().join(df, "term").withColumn("n", F.row_number().over(order))
+    terms = written(listed.join(ranked.select("item_key", "term", (F.col("n") <= rarest).alias("rare")), ["item_key", "term"]), "terms")
+    one = F.struct("item_key", "field", "offset", "term", "pos", "rare")
+    hits = postings.join(broadcast_if_small(terms), "term").groupBy("doc_key").agg(F.collect_list(one).alias("hits"))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            keys, field, offset, term, pos, rare = lists.flatten().flatten()
+            coded = keys.dictionary_encode()
+            columns = {"item": coded.indices, "field": field, "offset": offset, "term": term, "pos": pos, "rare": rare}
+            rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            own = pd.DataFrame({"row": rows} | {k: v.to_numpy(zero_copy_only=False) for k, v in columns.items()})
+            best = _best_windows(own, near, drift, least)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(best["row"], pa.int64())), coded.dictionary.take(pa.array(best["item"], pa.int64())), pa.array(best["terms"], pa.int64())],
+                ["doc_key", "item_key", "terms"],
+            )
+
+    schema = f"doc_key {hits.schema['doc_key'].dataType.simpleString()}, item_key {terms.schema['item_key'].dataType.simpleString()}, terms bigint"
+    return hits.mapInArrow(match, schema)

@@ -17,7 +17,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with several rare terms of an item close together."""
+    """Documents with several terms of an item close together."""
     found = proximity_matches(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_records"), "id", _TEXTS)
     return found.select(F.col("doc_key").alias("doc_id"), F.col("item_key").alias("item_id"), "terms")
 
