@@ -8,20 +8,16 @@ from chunkweave.operators import chunking
 from chunkweave.plans._tables import BLOCKS, CHUNKS, blocks, chunks, strip_sql
 
 
-def _texts(spark, sf_dir):
-    return blocks(spark, sf_dir).filter("NOT is_table AND type != 'image'")
-
-
 def _known_page(parts):
     return parts.withColumn("page_idx", F.coalesce("page_idx", F.lit(-1)))
 
 
 def chunk_fixed_length(spark, sf_dir):
-    return _known_page(chunking.chunk(_texts(spark, sf_dir), "fixed_length", size=400, overlap=50))
+    return _known_page(chunking.chunk(blocks(spark, sf_dir), "fixed_length", size=400, overlap=50))
 
 
 def chunk_separator(spark, sf_dir):
-    return _known_page(chunking.chunk(_texts(spark, sf_dir), "separator", separators=("\n\n", "\n", "。")))
+    return _known_page(chunking.chunk(blocks(spark, sf_dir), "separator", separators=("\n\n", "\n", "。")))
 
 
 def chunk_stats(spark, sf_dir):

@@ -22,3 +22,13 @@ def test_drafts_of_every_page_are_merged(spark):
     got = Counter((r.document_id, r.page, r.drafts) for r in QUERIES["draft_merge"](spark, DATA).collect())
     assert got == rows(f"SELECT document_id, page, count(*)::INT FROM {CHUNKS} WHERE document_id IS NOT NULL GROUP BY ALL")
     assert any(page is None for _, page, _ in got) and any((page or 0) >= 3 for _, page, _ in got)
+
+
+@pytest.mark.parametrize("name", ["chunk_fixed_length", "chunk_separator"])
+def test_tables_and_images_are_whole_chunks(spark, name):
+    media = f"""SELECT coalesce(document_id, ''), chunk_index, 0, coalesce(page, -1), CASE WHEN content <> '' THEN content
+      WHEN is_image_chunk AND NOT coalesce(is_table_chunk, false) THEN '[图片 第' || (coalesce(page, 0) + 1) || '页]' ELSE '' END
+      FROM {CHUNKS} WHERE layer <> 'enhanced' AND (is_table_chunk OR is_image_chunk)"""
+    want = rows(media)
+    got = Counter(tuple(r[c] for c in ("doc_id", "block_pos", "part_no", "page_idx", "content")) for r in QUERIES[name](spark, DATA).collect())
+    assert want and not want - got
