@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def retrieval_metrics(predictions: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:
+def retrieval_metrics(predictions: DataFrame, truth: DataFrame, k: int = 5, strategies: Sequence[str] | None = None) -> DataFrame:
     """``strategy, query_id, recall, mrr, ndcg`` of ``strategy, query_id, rank, id`` against ``query_id, ids``.
 
     A query without truth has the ideal of one hit that never comes: all three are 0. The reciprocal rank looks
-    at the whole list, the others at its first ``k``.
+    at the whole list, the others at its first ``k``. Every strategy has a row for every query of ``truth``, all 0 where
+    it found nothing; ``strategies`` names them, by default those that occur in ``predictions``.
     """
     wanted = truth.select("query_id", F.array_distinct(F.coalesce("ids", F.array().cast("array<string>"))).alias("ids"))
-    marked = predictions.join(wanted, "query_id").withColumn("hit", F.array_contains("ids", F.col("id")))
+    named = predictions.select("strategy").distinct() if strategies is None else wanted.sparkSession.createDataFrame([(s,) for s in strategies], "strategy string")
+    asked = wanted.crossJoin(F.broadcast(named))  # as many as there are strategies
+    marked = asked.join(predictions, ["strategy", "query_id"], "left").withColumn("hit", F.coalesce(F.array_contains("ids", F.col("id")), F.lit(False)))
     near = F.col("hit") & (F.col("rank") <= k)
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.size("ids"), F.lit(k)), F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     grouped = marked.groupBy("strategy", "query_id").agg(

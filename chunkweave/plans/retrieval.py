@@ -154,7 +154,7 @@ def prompt_build(spark, sf_dir):
 def eval_metrics(spark, sf_dir):
     truth = _queries(spark, sf_dir).select("query_id", F.col("ground_truth_chunks").alias("ids"))
     found = _channels(spark, sf_dir).withColumnRenamed("channel", "strategy")
-    return evaluate.retrieval_metrics(found, truth)
+    return evaluate.retrieval_metrics(found, truth, strategies=("content", "title"))
 
 
 def eval_means(spark, sf_dir):

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from chunkweave.operators import evaluate
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -32,3 +33,20 @@ def test_tables_and_images_are_whole_chunks(spark, name):
     want = rows(media)
     got = Counter(tuple(r[c] for c in ("doc_id", "block_pos", "part_no", "page_idx", "content")) for r in QUERIES[name](spark, DATA).collect())
     assert want and not want - got
+
+
+def test_items_without_a_hit_count_as_zero(spark):
+    found = spark.createDataFrame([("a", "q1", 1, "x"), ("b", "q2", 1, "y")], "strategy string, query_id string, rank int, id string")
+    truth = spark.createDataFrame([("q1", ["x"]), ("q2", ["z"]), ("q3", ["x"]), ("q4", None)], "query_id string, ids array<string>")
+    metrics = evaluate.retrieval_metrics(found, truth)
+    assert metrics.count() == 8 and metrics.filter("recall = 1 AND mrr = 1 AND ndcg = 1").count() == metrics.filter("recall > 0").count() == 1
+    means = {r.strategy: (r.queries, r.recall) for r in evaluate.mean_metrics(metrics).collect()}
+    assert means == {"a": (4, 0.25), "b": (4, 0.0)}
+    named = evaluate.retrieval_metrics(found, truth, strategies=["a", "b", "c"])
+    assert named.filter("strategy = 'c' AND recall = 0 AND mrr = 0 AND ndcg = 0").count() == 4
+
+
+def test_every_item_is_in_the_means(spark):
+    items = rows(f"SELECT count(DISTINCT id) FROM '{DATA}/eval_records.parquet'")
+    means = QUERIES["eval_means"](spark, DATA).collect()
+    assert {r.strategy for r in means} == {"content", "title"} and all(items[(r.queries,)] for r in means)
