@@ -65,38 +65,93 @@ def chunk_entities(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_set("name")).alias("entities"))
 
 
-def graph_nodes(chunks: DataFrame, triples: DataFrame, most: int) -> DataFrame:
-    """``doc_id, node_id, node_type, label``: chunks, then terms of triples, at most ``most`` per document.
-
-    ``chunks``: ``doc_id, id, idx, title, content, is_table_chunk, is_image_chunk``; ``triples``: ``doc_id, s, o``.
-    """
+def _graph_candidates(chunks: DataFrame, triples: DataFrame, most: int, mentions: DataFrame | None) -> DataFrame:
+    """Every node of a document in the order of insertion: ``doc_id, node_id, node_type, label, n``."""
     kind = F.when(F.col("is_table_chunk"), "table").when(F.col("is_image_chunk"), "image").otherwise("text")
     label = shortened(F.coalesce(F.nullif(strip(F.coalesce("title", F.lit(""))), F.lit("")), F.col("content"), F.lit("")), 32)
     own = chunks.select("doc_id", F.col("id").alias("node_id"), kind.alias("node_type"), label.alias("label"), F.lit(0).alias("rank"), F.col("idx").cast("long").alias("at"))
-    terms = triples.select("doc_id", F.explode(F.array("s", "o")).alias("term")).filter("term IS NOT NULL AND term != ''").distinct()
-    named = terms.select("doc_id", F.concat(F.lit("term:"), "term").alias("node_id"), F.lit("triple_term").alias("node_type"), shortened("term", 32).alias("label"), F.lit(1).alias("rank"), F.lit(0).cast("long").alias("at"))
-    order = Window.partitionBy("doc_id").orderBy("rank", "at", "node_id")
-    return own.unionByName(named).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("doc_id", "node_id", "node_type", "label")
+    placed = own.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "node_id"))).filter(F.col("n") <= most)
+    shown = placed.select("doc_id", F.col("node_id").alias("chunk_id"))
+    known = triples.join(shown, ["doc_id", "chunk_id"], "left_semi") if "chunk_id" in triples.columns else triples
+    order = [F.desc_nulls_first("confidence"), "s", "p", "o"] if {"confidence", "p"} <= set(triples.columns) else []
+    line = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) if order else F.lit(0)
+    terms = known.withColumn("line", line).select("doc_id", F.col("line").cast("long"), F.posexplode(F.array("s", "o")).alias("end", "term")).filter("term IS NOT NULL AND term != ''")
+    first = terms.groupBy("doc_id", "term").agg(F.min(F.col("line") * 2 + F.col("end") if order else F.lit(0).cast("long")).alias("at"))
+    named = first.select("doc_id", F.concat(F.lit("term:"), "term").alias("node_id"), F.lit("triple_term").alias("node_type"), shortened("term", 32).alias("label"), F.lit(2).alias("rank"), "at")
+    every = own.unionByName(named)
+    if mentions is not None:
+        met = mentions.join(shown, ["doc_id", "chunk_id"], "left_semi").groupBy("doc_id", "entity_id").agg(F.min("name").alias("name"))
+        at = F.row_number().over(Window.partitionBy("doc_id").orderBy("name", "entity_id")).cast("long")
+        every = every.unionByName(met.select("doc_id", F.concat(F.lit("entity:"), "entity_id").alias("node_id"), F.lit("entity").alias("node_type"), F.col("name").alias("label"), F.lit(1).alias("rank"), at.alias("at")))
+    return every.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "at", "node_id"))).select("doc_id", "node_id", "node_type", "label", "n")
+
+
+def graph_nodes(chunks: DataFrame, triples: DataFrame, most: int, mentions: DataFrame | None = None) -> DataFrame:
+    """``doc_id, node_id, node_type, label``: chunks, then entities, then terms of triples, at most ``most`` per document.
+
+    ``chunks``: ``doc_id, id, idx, title, content, is_table_chunk, is_image_chunk``; ``triples``: ``doc_id, s, o`` and,
+    where known, ``chunk_id, p, confidence`` (surest first); ``mentions``: ``doc_id, chunk_id, entity_id, name``.
+    Entities and terms come only from chunks that are shown.
+    """
+    return _graph_candidates(chunks, triples, most, mentions).filter(F.col("n") <= most).drop("n")
 
 
-def graph_edges(nodes: DataFrame, relations: DataFrame, triples: DataFrame) -> DataFrame:
-    """``doc_id, src, dst, edge_type`` between nodes that are shown: relations and triples."""
-    edges = relations.select("doc_id", F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), F.col("rel_type").alias("edge_type"))
-    terms = triples.select("doc_id", F.concat(F.lit("term:"), "s").alias("src"), F.concat(F.lit("term:"), "o").alias("dst"), F.lit("triple").alias("edge_type"))
+def graph_edges(nodes: DataFrame, relations: DataFrame, triples: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+    """``doc_id, src, dst, edge_type`` between nodes that are shown: relations, triples, their sources and mentions.
+
+    A triple with a ``chunk_id`` hangs on that chunk by its subject, as long as its object is shown too.
+    """
     shown = nodes.select("doc_id", "node_id")
-    every = edges.unionByName(terms).distinct()
-    left = every.join(shown.withColumnRenamed("node_id", "src"), ["doc_id", "src"], "left_semi")
-    return left.join(shown.withColumnRenamed("node_id", "dst"), ["doc_id", "dst"], "left_semi").select("doc_id", "src", "dst", "edge_type")
+
+    def within(edges: DataFrame, *ends: str) -> DataFrame:
+        for end in ends:
+            edges = edges.join(shown.withColumnRenamed("node_id", end), ["doc_id", end], "left_semi")
+        return edges
+
+    def edge(df: DataFrame, src: str, dst: str, kind) -> DataFrame:
+        return df.select("doc_id", F.col(src).alias("src"), F.col(dst).alias("dst"), kind.alias("edge_type"))
+
+    terms = triples.select(*[c for c in ("doc_id", "chunk_id") if c in triples.columns], F.concat(F.lit("term:"), "s").alias("s"), F.concat(F.lit("term:"), "o").alias("o"))
+    terms = within(terms, "s", "o", *(["chunk_id"] if "chunk_id" in triples.columns else []))
+    every = within(edge(relations, "src_id", "dst_id", F.col("rel_type")), "src", "dst")
+    every = every.unionByName(edge(terms, "s", "o", F.lit("triple")))
+    if "chunk_id" in triples.columns:
+        every = every.unionByName(edge(terms, "chunk_id", "s", F.lit("triple_source")))
+    if mentions is not None:
+        met = mentions.withColumn("entity_id", F.concat(F.lit("entity:"), "entity_id"))
+        every = every.unionByName(within(edge(met, "chunk_id", "entity_id", F.lit("mentions")), "src", "dst"))
+    return every.select("doc_id", "src", "dst", "edge_type").distinct()
+
+
+def graph_stats(chunks: DataFrame, triples: DataFrame, most: int, mentions: DataFrame | None = None) -> DataFrame:
+    """``doc_id, nodes, chunks, entities, dropped, truncated`` of the graph of each document.
+
+    ``chunks``: all of the document; ``entities``: the shown nodes that are no chunks; ``dropped``: nodes beyond ``most``.
+    """
+    kept = F.col("n") <= most
+    thing = F.col("node_type").isin("entity", "triple_term")
+    counted = _graph_candidates(chunks, triples, most, mentions).groupBy("doc_id").agg(
+        F.count_if(kept).alias("nodes"), F.count_if(~thing).alias("chunks"), F.count_if(kept & thing).alias("entities"), F.count_if(~kept).alias("dropped")
+    )
+    return counted.withColumn("truncated", F.col("dropped") > 0)
 
 
-def graph_seeds(relations: DataFrame, most: int) -> DataFrame:
+def graph_seeds(relations: DataFrame, most: int, chunks: DataFrame | None = None) -> DataFrame:
     """``kb_id, chunk_id, pos``: the first ``most`` ends of the heaviest relations of each base, each once.
 
     ``relations``: ``kb_id, id, src_id, dst_id, weight``; four times as many relations as nodes are looked at.
+    A base with fewer ends is topped up with ``chunks`` (``kb_id, id, document_id, chunk_index, created_at, updated_at``),
+    those of the documents updated last first.
     """
     heavy = Window.partitionBy("kb_id").orderBy(F.desc_nulls_last("weight"), "id")
     top = relations.withColumn("r", F.row_number().over(heavy)).filter(F.col("r") <= 4 * most)
     ends = top.select("kb_id", "r", F.posexplode(F.array("src_id", "dst_id")).alias("end", "chunk_id")).filter("chunk_id IS NOT NULL")
-    first = ends.groupBy("kb_id", "chunk_id").agg(F.min(F.col("r") * 2 + F.col("end")).alias("at"))
+    first = ends.groupBy("kb_id", "chunk_id").agg(F.min(F.col("r") * 2 + F.col("end")).cast("long").alias("at"))
+    if chunks is not None:
+        recent = Window.partitionBy("kb_id").orderBy(F.desc_nulls_last("updated_at"), F.asc_nulls_last("document_id"), F.asc_nulls_last("chunk_index"), F.asc_nulls_last("created_at"), "id")
+        # As many are enough: at least ``most`` less the ends found are not among those.
+        rest = chunks.filter("kb_id IS NOT NULL").withColumn("r", F.row_number().over(recent)).filter(F.col("r") <= most)
+        more = rest.select("kb_id", F.col("id").alias("chunk_id"), (F.col("r") + 8 * most + 2).cast("long").alias("at"))
+        first = first.unionByName(more).groupBy("kb_id", "chunk_id").agg(F.min("at").alias("at"))
     order = Window.partitionBy("kb_id").orderBy("at")
     return first.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most).select("kb_id", "chunk_id", "pos")

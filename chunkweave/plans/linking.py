@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.operators import knowledge, links
 from chunkweave.plans._tables import CHUNKS, RELATIONS, TRIPLES, chunks, relations, triples
-from chunkweave.runtime import table
+from chunkweave.runtime import first_rows, table, written
 
 
 def _chunks(spark, sf_dir):
@@ -80,13 +80,20 @@ def chunk_entities(spark, sf_dir):
     return knowledge.chunk_entities(triples(spark, sf_dir).filter("source_chunk IS NOT NULL").select(F.col("source_chunk").alias("chunk_id"), F.col("s").alias("name")))
 
 
-def _document_graph(spark, sf_dir):
+def _graph_parts(spark, sf_dir):
     own = _chunks(spark, sf_dir)
-    placed = own.select(F.col("id").alias("source_chunk"), "doc_id")
-    terms = triples(spark, sf_dir).select("source_chunk", "s", "o").join(placed, "source_chunk").select("doc_id", "s", "o")
-    nodes = knowledge.graph_nodes(own, terms, 60)
+    placed = own.select(F.col("id").alias("chunk_id"), "doc_id")
+    terms = triples(spark, sf_dir).select(F.col("source_chunk").alias("chunk_id"), "s", "p", "o", "confidence").join(placed, "chunk_id")
+    entities = entity_merge(spark, sf_dir).withColumn("entity_id", F.concat_ws(":", F.coalesce("kb_id", F.lit("")), "type", "entity_no"))
+    mentions = entities.select("entity_id", "name", F.explode("source_chunks").alias("chunk_id")).join(placed, "chunk_id")
+    return own, written(terms, "terms"), written(mentions, "mentions")  # both are read several times
+
+
+def _document_graph(spark, sf_dir):
+    own, terms, mentions = _graph_parts(spark, sf_dir)
+    nodes = written(knowledge.graph_nodes(own, terms, 100, mentions), "nodes")
     edges = relations(spark, sf_dir).select("src_id", "dst_id", "rel_type").join(own.select(F.col("id").alias("src_id"), "doc_id"), "src_id")
-    return nodes, knowledge.graph_edges(nodes, edges, terms)
+    return nodes, knowledge.graph_edges(nodes, edges, terms, mentions)
 
 
 def graph_nodes(spark, sf_dir):
@@ -97,15 +104,22 @@ def graph_edges(spark, sf_dir):
     return _document_graph(spark, sf_dir)[1]
 
 
+def graph_stats(spark, sf_dir):
+    own, terms, mentions = _graph_parts(spark, sf_dir)
+    return knowledge.graph_stats(own, terms, 100, mentions)
+
+
 def graph_preview_seed(spark, sf_dir):
-    return knowledge.graph_seeds(relations(spark, sf_dir).select("kb_id", "id", "src_id", "dst_id", "weight"), 20)
+    documents = first_rows(table(spark, sf_dir, "kb_documents"), "id", "created_at").select(F.col("id").alias("document_id"), "updated_at")
+    own = chunks(spark, sf_dir, "kb_id", "document_id", "chunk_index", "created_at").join(documents, "document_id", "left")
+    return knowledge.graph_seeds(relations(spark, sf_dir).select("kb_id", "id", "src_id", "dst_id", "weight"), 200, own)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         figure_references, adjacent_media, sibling_pairs, inherited_relations, procedure_steps, causal_links, unique_relations, semantic_links,
-        migrated_relations, entity_merge, entity_definitions, chunk_entities, graph_nodes, graph_edges, graph_preview_seed,
+        migrated_relations, entity_merge, entity_definitions, chunk_entities, graph_nodes, graph_edges, graph_stats, graph_preview_seed,
     )
 }
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
-from chunkweave.operators import evaluate
+from chunkweave.operators import evaluate, knowledge
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -50,3 +50,30 @@ def test_every_item_is_in_the_means(spark):
     items = rows(f"SELECT count(DISTINCT id) FROM '{DATA}/eval_records.parquet'")
     means = QUERIES["eval_means"](spark, DATA).collect()
     assert {r.strategy for r in means} == {"content", "title"} and all(items[(r.queries,)] for r in means)
+
+
+def test_graph_shows_entities_and_sources(spark):
+    own = spark.createDataFrame([("d", f"c{k}", k, "", "text", False, False) for k in range(3)], "doc_id string, id string, idx int, title string, content string, is_table_chunk boolean, is_image_chunk boolean")
+    terms = spark.createDataFrame([("d", "c0", "b", "r", "a", 0.5), ("d", "c2", "x", "r", "y", 0.9)], "doc_id string, chunk_id string, s string, p string, o string, confidence double")
+    mentions = spark.createDataFrame([("d", "c1", "7", "Pump"), ("d", "c2", "7", "Pump")], "doc_id string, chunk_id string, entity_id string, name string")
+    edges = spark.createDataFrame([("d", "c0", "c1", "next")], "doc_id string, src_id string, dst_id string, rel_type string")
+    nodes = knowledge.graph_nodes(own, terms, 6, mentions)
+    assert {r.node_id for r in nodes.collect()} == {"c0", "c1", "c2", "entity:7", "term:x", "term:y"}  # the surest triple first
+    got = {tuple(r) for r in knowledge.graph_edges(nodes, edges, terms, mentions).drop("doc_id").collect()}
+    assert got == {("c0", "c1", "next"), ("term:x", "term:y", "triple"), ("c2", "term:x", "triple_source"), ("c1", "entity:7", "mentions"), ("c2", "entity:7", "mentions")}
+    assert tuple(knowledge.graph_stats(own, terms, 6, mentions).first()) == ("d", 6, 3, 3, 2, True)
+    assert tuple(knowledge.graph_stats(own, terms, 8, mentions).first()) == ("d", 8, 3, 5, 0, False)
+    assert {r.node_id for r in knowledge.graph_nodes(own, terms, 1, mentions).collect()} == {"c0"}
+
+
+def test_preview_is_topped_up_with_recent_chunks(spark):
+    relations = spark.createDataFrame([("k", "1", "b", "a", 1.0)], "kb_id string, id string, src_id string, dst_id string, weight double")
+    chunks = [("k", c, d, n, 0, at) for c, d, n, at in (("a", "d1", 0, 5), ("c", "d1", 1, 5), ("d", "d2", 0, 9), ("e", None, 0, None))] + [("other", "z", "d3", 0, 0, 1)]
+    chunks = spark.createDataFrame(chunks, "kb_id string, id string, document_id string, chunk_index int, created_at int, updated_at int")
+    seeds = knowledge.graph_seeds(relations, 4, chunks).orderBy("kb_id", "pos").collect()
+    assert [tuple(r) for r in seeds] == [("k", "b", 1), ("k", "a", 2), ("k", "d", 3), ("k", "c", 4), ("other", "z", 1)]
+
+
+def test_graphs_show_every_chunk(spark):
+    shown = {r.node_id for r in QUERIES["graph_nodes"](spark, DATA).filter("node_type IN ('text', 'table', 'image')").collect()}
+    assert shown == {i for (i,) in rows(f"SELECT id FROM {CHUNKS} WHERE document_id IS NOT NULL AND chunk_index IS NOT NULL")}
