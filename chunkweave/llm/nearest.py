@@ -2,7 +2,9 @@
 
 Vectors are routed to shards by the nearest of a set of centroids, fitted on a bounded sample; every
 vector is indexed in its own shard. In each shard one task builds a pruned graph and answers by beam search
-the vectors that live there and those that visit from neighbouring shards. Equal vectors are
+the vectors that live there and those that visit from neighbouring shards. Routing looks at the vectors without
+the mean of the sample, so a direction that all of them share doesn't make every shard a neighbour; the visitors
+of a shard that very many would visit are split into blocks, each with its own copy of the graph. Equal vectors are
 one node, so a vector repeated in a third of all rows costs one search, and its copies are ranked by id.
 """
 
@@ -24,6 +26,8 @@ SHARD_ROWS = 4000
 SAMPLE_ROWS, MOST_SAMPLE_ROWS = 20_000, 100_000
 #: Most centroids; beyond (about 65 million vectors), shards of a centroid are split by hash and all of them are searched.
 MOST_CELLS = 8192
+#: Visitors searched by one task, about.
+VISITORS = 8 * SHARD_ROWS
 _SEARCH = 512
 
 
@@ -75,12 +79,29 @@ def numbered_vectors(vectors: DataFrame, key: str, vec: str, order: Sequence[str
     return ids.select("mid", "id"), copies, nodes
 
 
+def _centred(x: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Unit vectors of ``x - middle``; a vector at the middle keeps its direction."""
+    y = x - middle
+    norm = np.linalg.norm(y, axis=1, keepdims=True)
+    return np.where(norm > 1e-6, y / np.maximum(norm, 1e-6), x).astype(np.float32)
+
+
+def _visited(y: np.ndarray, centre: np.ndarray, within: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centroid, matrix of the centroids within reach, the ``most`` nearest of them) of centred vectors."""
+    sims = y @ centre.T
+    least = sims.max(axis=1, keepdims=True) - within
+    if most is not None and most < len(centre):
+        least = np.maximum(least, -np.partition(-sims, most - 1, axis=1)[:, most - 1 : most])
+    return sims.argmax(axis=1), sims >= least
+
+
 def shard_neighbours(
-    nodes: DataFrame, count: int, size: int, k: int, least: float, margin: float | None, queries: DataFrame | None = None, degree: int = 16, beam: int = 24, reach: int = 16
+    nodes: DataFrame, count: int, size: int, k: int, least: float, margin: float | None, visits: int | None = None, queries: DataFrame | None = None, degree: int = 16, beam: int = 24, reach: int = 16
 ) -> DataFrame:
     """``q, n, sim``: for every node (or those of ``queries.nid``) its best nodes of at least ``least`` in the shards searched.
 
-    A node visits every shard whose centroid is at most ``margin`` farther (in cosine) than its nearest; None: all.
+    A node visits the shards whose centroid is at most ``margin`` farther (in cosine, without the mean) than its nearest
+    (None: all), the ``visits`` nearest of them (None: all).
     """
     spark = nodes.sparkSession
     cells = min(MOST_CELLS, max(1, round(count / SHARD_ROWS)))
@@ -89,48 +110,63 @@ def shard_neighbours(
     points = np.array([np.asarray(v, np.float64) for v in sample]).reshape(-1, size)
     points = (points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)).astype(np.float32)
     cells = min(cells, max(1, len(points)))
+    within = 3.0 if margin is None else margin
+    middle, centre, share, guests = np.zeros(size, np.float32), np.zeros((1, size), np.float32), np.ones(1), np.zeros(1)
     if len(points):
+        middle = points.mean(axis=0)
+        points = _centred(points, middle)
         centre = fit_centroids(points, cells)
-        own = np.concatenate([(points[b : b + 4096] @ centre.T).argmax(axis=1) for b in range(0, len(points), 4096)])
-        share = np.bincount(own, minlength=cells) / len(points)
-    else:
-        centre, share = np.zeros((1, size), np.float32), np.ones(1)
+        own, seen = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        for b in range(0, len(points), 4096):
+            nearest, near = _visited(points[b : b + 4096], centre, within, visits)
+            own += np.bincount(nearest, minlength=cells)
+            seen += near.sum(axis=0)
+        share, guests = own / len(points), (seen - own) / len(points)
     parts = np.maximum(1, np.ceil(share * count / (2 * SHARD_ROWS))).astype(np.int64)
     base = np.concatenate(([0], np.cumsum(parts)))
-    shared = spark.sparkContext.broadcast((centre, parts, base))
-    within = 3.0 if margin is None else margin
+    # Visitors of a part: those of its cell, and the cell's own that live in its other parts.
+    asking = 1.0 if queries is None else min(1.0, queries.count() / max(1, count))
+    blocks = np.maximum(1, np.ceil((guests + share * (parts > 1)) * count * asking / VISITORS)).astype(np.int64)
+    shared = spark.sparkContext.broadcast((middle, centre, parts, base, blocks))
     asked = nodes.withColumn("asks", F.lit(True))
     if queries is not None:
         asked = nodes.join(broadcast_if_small(queries.select("nid").distinct().withColumn("asks", F.lit(True))), "nid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     asked = spread(asked.select("nid", "vec", "asks"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, parts, base = shared.value
+        middle, centre, parts, base, blocks = shared.value
         for whole in batches:
             for begin in range(0, whole.num_rows, 2048):
                 batch = whole.slice(begin, 2048)
                 x = _unit(batch.column(1), size)
                 nid = batch.column(0).to_numpy()
                 asks = batch.column(2).to_numpy(zero_copy_only=False)
-                sims = x @ centre.T
-                nearest = sims.argmax(axis=1)
-                own = base[nearest] + (nid * np.int64(0x9E3779B1) >> np.int64(7)) % parts[nearest]
-                shard, row, home = [own], [np.arange(len(x))], [np.ones(len(x), bool)]
-                at, cell = np.nonzero((sims >= sims.max(axis=1, keepdims=True) - within) & asks[:, None])
+                nearest, near = _visited(_centred(x, middle), centre, within, visits)
+                spot = nid * np.int64(0x9E3779B1) >> np.int64(7)
+                own = base[nearest] + spot % parts[nearest]
+                shard, row, home, block = [own], [np.arange(len(x))], [np.ones(len(x), bool)], [np.zeros(len(x), np.int64)]
+                for extra in range(1, int(blocks[nearest].max()) if len(x) else 0):
+                    more = np.flatnonzero(extra < blocks[nearest])  # residents of every block
+                    shard.append(own[more])
+                    row.append(more)
+                    home.append(np.ones(len(more), bool))
+                    block.append(np.full(len(more), extra))
+                at, cell = np.nonzero(near & asks[:, None])
                 for extra in range(int(parts[cell].max()) if len(cell) else 0):
                     s = base[cell] + extra
                     go = (extra < parts[cell]) & (s != own[at])
                     shard.append(s[go])
                     row.append(at[go])
                     home.append(np.zeros(int(go.sum()), bool))
-                shard, row, home = np.concatenate(shard), np.concatenate(row), np.concatenate(home)
+                    block.append((spot[at[go]] // 64) % blocks[cell[go]])
+                shard, row, home, block = map(np.concatenate, (shard, row, home, block))
                 # Visitors travel as 16-bit fixed point (error of a cosine below 1e-5), residents in full.
                 scale = np.abs(x).max(axis=1)
                 small = np.rint(x / scale[:, None] * 32767).astype(np.int16)
                 data = [x[r].tobytes() if h else small[r].tobytes() for r, h in zip(row, home)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.astype(np.int32)), pa.array(nid[row]), pa.array(home), pa.array(asks[row]), pa.array(data, pa.binary())],
-                    ["shard", "nid", "home", "asks", "data"],
+                    [pa.array(shard.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(nid[row]), pa.array(home), pa.array(asks[row] & (~home | (block == 0))), pa.array(data, pa.binary())],
+                    ["shard", "block", "nid", "home", "asks", "data"],
                 )
 
     def answer(table: pa.Table) -> pa.Table:
@@ -145,7 +181,7 @@ def shard_neighbours(
         data = table.column("data").to_pylist()
         residents = np.flatnonzero(home)
         out_q, out_n, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-        if len(residents):
+        if len(residents) and asks.any():
             x = np.frombuffer(b"".join(data[r] for r in residents), np.float32).reshape(len(residents), size)
             graph = PrunedGraph(x, degree, beam)
             names = nid[residents]
@@ -166,10 +202,10 @@ def shard_neighbours(
                 out_s.append(sims[row, col][ok])
         return pa.table({"q": np.concatenate(out_q), "n": np.concatenate(out_n), "sim": np.concatenate(out_s)})
 
-    routed = asked.mapInArrow(route, "shard int, nid bigint, home boolean, asks boolean, data binary")
-    # More partitions than shards, so that few tasks get two of them; a shard is bounded, whatever the collection.
-    tasks = int(min(2 * base[-1], 10_000))
-    return routed.repartition(tasks, "shard").groupBy("shard").applyInArrow(answer, "q bigint, n bigint, sim float")
+    routed = asked.mapInArrow(route, "shard int, block int, nid bigint, home boolean, asks boolean, data binary")
+    # More partitions than groups, so that few tasks get two of them; a group is bounded, whatever the collection.
+    tasks = int(min(2 * int((parts * blocks).sum()), 10_000))
+    return routed.repartition(tasks, "shard", "block").groupBy("shard", "block").applyInArrow(answer, "q bigint, n bigint, sim float")
 
 
 def nearest_vectors(
@@ -181,6 +217,7 @@ def nearest_vectors(
     size: int = 64,
     least: float = -1.0,
     margin: float | None = 0.15,
+    visits: int | None = 16,
     queries: DataFrame | None = None,
     degree: int = 16,
     beam: int = 24,
@@ -191,7 +228,8 @@ def nearest_vectors(
     Ties go to the smaller id. Rows with a null key and vectors that are null, of another size, all zero or
     hold nulls, NaN or infinities take no part; of the rows of one key the first by ``order`` counts; an
     empty input gives no rows; other columns are ignored. ``queries`` (column ``id``) restricts the ids
-    asked about, always against all vectors. The search is approximate: see the README for measured recall.
+    asked about, always against all vectors. ``margin`` and ``visits`` bound the shards a vector visits (None: no bound);
+    ``visits`` keeps the cost of a vector the same in any collection. The search is approximate: see the README for measured recall.
     """
     ids, copies, nodes = numbered_vectors(vectors, key, vec, order, size)
     copies = written(copies, "vector-copies")
@@ -201,7 +239,7 @@ def nearest_vectors(
         asked = written(wanted.join(copies, "mid", "left").select("mid", F.coalesce("nid", "mid").alias("nid")), "asked")
     nodes = written(nodes, "vector-nodes") if queries is not None else nodes
     count = ids.count()
-    found = shard_neighbours(nodes, count, size, k, least, margin, asked, degree, beam, reach)
+    found = shard_neighbours(nodes, count, size, k, least, margin, visits, asked, degree, beam, reach)
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "n")
     ranked = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select("q", "n", "sim")
     # Nodes of several ids: the first k + 1 ids of a node are enough for any list it appears in.

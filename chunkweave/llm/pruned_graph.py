@@ -15,7 +15,7 @@ class PrunedGraph:
     the best few of the first ``pivots`` nodes, which are spread over the whole set by the random order.
     """
 
-    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 24, alpha: float = 1.2, batch: int = 512, pivots: int = 512, seed: int = 1) -> None:
+    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 24, alpha: float = 1.2, batch: int = 512, pivots: int = 1024, seed: int = 1) -> None:
         self.x = np.ascontiguousarray(x, dtype=np.float32)
         self.degree, self.beam, self.alpha = degree, beam, alpha
         n = len(self.x)
@@ -56,19 +56,18 @@ class PrunedGraph:
         sims = np.take_along_axis(sims, order, 1)
         alive = ids >= 0
         vectors = self.x[np.maximum(ids, 0)]
-        among = self.alpha * (1.0 - np.matmul(vectors, vectors.transpose(0, 2, 1)))
-        far = 1.0 - sims
+        # hides[m, k, j]: if k is kept, j is too near to it.
+        hides = np.matmul(vectors, vectors.transpose(0, 2, 1)) >= (1.0 - (1.0 - sims) / self.alpha)[:, None, :]
         kept = np.full((len(ids), self.degree), -1, np.int32)
         count = np.zeros(len(ids), np.int64)
-        rows = np.arange(len(ids))
         for k in range(ids.shape[1]):
             take = alive[:, k] & (count < self.degree)
-            if not take.any():
+            r = np.flatnonzero(take)
+            if not len(r):
                 continue
-            r = rows[take]
             kept[r, count[r]] = ids[r, k]
             count[r] += 1
-            alive[r] &= among[r, k] > far[r]
+            alive &= ~(hides[:, k] & take[:, None])
         return kept
 
     def _add_reverse(self, node: np.ndarray, new: np.ndarray) -> None:
@@ -147,8 +146,10 @@ class PrunedGraph:
             row = once // n
             node = (once - row * n).astype(np.int32)
             flat[active[row] * n + node] = True
+            s = np.einsum("kd,kd->k", self.x.take(node, axis=0), q.take(active[row], axis=0))
+            better = s > sims[active].min(axis=1)[row]  # the others can't enter the beam
+            row, node, s = row[better], node[better], s[better]
             count = np.bincount(row, minlength=len(active))
-            s = np.einsum("kd,kd->k", self.x.take(node, axis=0), np.repeat(q[active], count, axis=0))
             most = int(count.max()) if len(count) else 0
             if not most:
                 continue

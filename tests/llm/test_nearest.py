@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from chunkweave.llm.nearest import nearest_vectors
+from chunkweave.llm.nearest import _centred, _visited, fit_centroids, nearest_vectors
 from chunkweave.llm.pruned_graph import PrunedGraph
 
 
@@ -47,6 +48,46 @@ def test_neighbours_with_dirty_rows(spark):
     hot = {p for p in want if p[0].startswith("d")}
     assert hot <= got
     asked = spark.createDataFrame([("c0000",), ("d0003",)], "id string")
-    few = {(r.id, r.other_id) for r in nearest_vectors(df, "chunk_id", "vec", ["at"], least=0.85, margin=None, queries=asked).collect()}
+    few = {(r.id, r.other_id) for r in nearest_vectors(df, "chunk_id", "vec", ["at"], least=0.85, margin=None, visits=None, queries=asked).collect()}
     assert few == {p for p in want if p[0] in ("c0000", "d0003")}
     assert nearest_vectors(df.limit(0), "chunk_id", "vec", ["at"]).count() == 0
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.5, 0.8])
+def test_visits_are_bounded_under_a_shared_direction(shared):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.sqrt(1 - shared)
+    x[:, 0] += np.sqrt(shared)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    middle = x.mean(axis=0)
+    y = _centred(x, middle)
+    near = _visited(y, fit_centroids(y, 200), 0.15, None)[1]
+    assert near.sum(axis=1).mean() < 16
+    assert _visited(y, fit_centroids(y, 200), 0.15, 8)[1].sum(axis=1).max() <= 8
+
+
+def test_visitors_in_blocks(spark, monkeypatch):
+    """Shards split by hash, with their visitors in several blocks, give the same pairs."""
+    from chunkweave.llm import nearest
+
+    x = clusters(600, 64, 12, 0.05, 9)
+    rows = {f"c{k:04d}": v for k, v in enumerate(x)}
+    df = spark.createDataFrame([(i, [float(z) for z in v], k) for k, (i, v) in enumerate(rows.items())], "chunk_id string, vec array<float>, at int")
+    monkeypatch.setattr(nearest, "SHARD_ROWS", 60)
+    monkeypatch.setattr(nearest, "MOST_CELLS", 4)
+    monkeypatch.setattr(nearest, "VISITORS", 100)
+    got = {(r.id, r.other_id) for r in nearest_vectors(df, "chunk_id", "vec", ["at"], least=0.85).collect()}
+    want = brute(rows, 0.85)
+    assert len(got & want) / len(want) > 0.97 and len(got - want) / len(got) < 0.03
+
+
+def test_brute_force(spark):
+    from chunkweave.llm.queries_nearest import nearest_by_brute_force
+
+    x = clusters(120, 8, 6, 0.4, 4)
+    rows = {f"c{k:03d}": v for k, v in enumerate([*x, x[0], x[0]])}
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in rows.items()], "chunk_id string, vec array<float>")
+    got = {(r.id, r.other_id) for r in nearest_by_brute_force(df, df).collect()}
+    assert got == brute(rows, -2)
