@@ -1,11 +1,13 @@
 """Problem 5: noise in text from scanned pages, and its repair into readable paragraphs.
 
-One pass over all texts counts words, character pairs of running text and the page numbers and chapter
-titles of each file. Misreadings are found by linking rare words to frequent ones: a plausible glyph edit
-must lead to a word that is far more frequent, and the skip-gram vectors of both must not disagree. The
-vectors are the matrix form of skip-gram with negative sampling: shifted positive PMI against the most
-frequent context words, reduced by their leading factors. In scripts without word breaks the two
-character pairs around a glyph take the place of the word, and the glyph is corrected in its context.
+One pass over all texts counts words, the pairs of words and characters that follow one another in running text, and
+the page numbers and titles of each file. Skip-gram vectors are learnt from these counts in their matrix form: the
+log odds of every left and right neighbour, smoothed so that they weigh as much as the word was seen, reduced by the
+leading factors of the most frequent words. The vectors propose: a word may be a misreading of one of the
+``NEIGHBOURS`` frequent words nearest to it. Of these, only those stay from which a plausible glyph edit leads to the
+word. Each occurrence is then decided in its context: how much more frequent the proposed word is, times how well the
+words around it fit the proposed word's vector. In scripts without word breaks the glyph takes the place of the
+word: the vectors propose the glyphs that fit between its neighbours, and the counts of the pairs decide.
 A second pass labels lines; page furniture is removed before words are joined across lines.
 """
 
@@ -35,7 +37,7 @@ HAN_GLYPHS = (
     "检捡 检俭 险俭 险捡 阀闽 压庄 标棕 测侧 人入 校佼 处外 备各 电屯 拆折 设没 急怠 操澡 滤滬 未末 洁沽 日曰 冶治 "
     "己已 土士 千干 干于 大太 清请 情请 管菅 班斑 流硫 线钱 间问 闻问 第弟 体休 阔阀 值植 徽微 贷货 今令 免兔 拔拨 "
     "候侯 栽裁 戍戌 撤撒 晴睛 辨辩 历厉 折析 住往 名各 申甲 由田 巳己 幻幼 氏民 夭天 夫天 目且 刀力 几儿 旦且 朱未 "
-    "束柬 赢羸 复夏 侍待 科料 根恨 鸟乌 王玉 白自 毎每"
+    "束柬 赢羸 复夏 侍待 科料 根恨 鸟乌 王玉 白自 毎每 章草"
 ).split()
 _READINGS: dict[str, set[str]] = {}
 for _pair in HAN_GLYPHS:
@@ -49,10 +51,12 @@ LEAST_RATIO = 8
 LEAST_ODDS = 3.0
 #: Weight of a pair whose other glyph is a reading as well.
 SECOND_PRICE = 0.1
-#: Context words of the skip-gram vectors, and their length.
-CONTEXT_WORDS, VECTOR_SIZE, SHIFT = 1000, 32, 1.0
-#: Vectors of words with this many neighbours must have at least this cosine with the correction's.
-LEAST_SEEN, LEAST_COSINE = 30, 0.2
+#: Context words of the skip-gram vectors, their length, and the neighbours that every word is taken to have had besides its own.
+CONTEXT_WORDS, VECTOR_SIZE, SMOOTHING = 1000, 64, 50.0
+#: A word may be a misreading of so many of the frequent words nearest to it, a glyph of so many of the confusable glyphs.
+NEIGHBOURS, GLYPH_NEIGHBOURS = 256, 24
+#: Frequent words compared at once: the size of a broadcast, not a limit.
+VECTOR_BLOCK = 20_000
 #: So many of the most frequent words that are no misreadings are left out of the lookup (a shortcut without effect).
 FREQUENT_WORDS = 50_000
 
@@ -72,7 +76,7 @@ _NUMBER = re.compile(
 )
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _HAN_DIGIT = {c: k for k, c in enumerate("零一二三四五六七八九")} | {"〇": 0}
-_CHAPTER = re.compile(r"^(?:chapter|chaptcr|cbapter|chapfer|(?:ch|cl?h)apter)\s*[0-9lo]{1,3}\s+\S|^第[一二三四五六七八九十百零〇0-9]{1,4}[章草]\s*\S", re.I)
+_CHAPTER = re.compile(r"^(\w{5,9}?)\s*[0-9lo]{1,3}\s+\S|^第[一二三四五六七八九十百零〇0-9]{1,4}(\w)\s*\S", re.I)
 _EDGE_NUMBER = re.compile(rf"^\s*{_DIGIT}{{1,5}}(?:\s*/\s*{_DIGIT}{{1,5}})?\s{{2,}}|\s{{2,}}{_DIGIT}{{1,5}}(?:\s*/\s*{_DIGIT}{{1,5}})?\s*$")
 _SENTENCE_END = tuple("。．.!?！？；;，,、：:》”\"")
 
@@ -136,6 +140,19 @@ def glyph_class(title: str) -> str:
     return t.translate(_CLASS).translate(_HAN_TABLE)
 
 
+_CHAPTER_FORMS = {glyph_class(w) for w in ("chapter", "章")}
+
+
+def chapter_form(line: str) -> str | None:
+    """The form of a line that looks like a chapter title (word or sign of a chapter, number, title), perhaps misread."""
+    t = unicodedata.normalize("NFKC", line).strip()
+    t = _EDGE_NUMBER.sub("", t).strip() or t
+    if not t or len(t) > 60 or t.endswith(_SENTENCE_END):
+        return None
+    m = _CHAPTER.match(_SPACE.sub("", t) if t[0] == "第" else t)
+    return glyph_class(t) if m and glyph_class(m[1] or m[2]) in _CHAPTER_FORMS else None
+
+
 def _edits_at_most(a: str, b: str, most: int) -> bool:
     """Is the edit distance of two short strings at most ``most``?"""
     if abs(len(a) - len(b)) > most:
@@ -151,14 +168,11 @@ def _edits_at_most(a: str, b: str, most: int) -> bool:
 
 
 def is_running_head(line: str, classes: set[str], longest: int) -> bool:
-    """A line that holds only a book or chapter title, perhaps damaged or with the page number."""
+    """A line that holds only a book or chapter title of its file, perhaps damaged or with the page number."""
     t = unicodedata.normalize("NFKC", line).strip()
     if not t or len(t) > longest + 16 or t.endswith(_SENTENCE_END):
         return False
-    bare = _EDGE_NUMBER.sub("", t).strip() or t
-    if _CHAPTER.match(_SPACE.sub("", bare) if bare[:1] == "第" else bare) and len(bare) <= 60:
-        return True
-    form = glyph_class(bare)
+    form = glyph_class(_EDGE_NUMBER.sub("", t).strip() or t)
     if len(form) < 3:
         return False
     if form in classes:
@@ -167,14 +181,30 @@ def is_running_head(line: str, classes: set[str], longest: int) -> bool:
     return any(_edits_at_most(form, c, most) for c in classes if len(c) >= 5)
 
 
+def stands_apart(line: str, width: int, beside_number: bool) -> bool:
+    """Is a line in the form of a chapter title set as one, not part of the sentences around it?
+
+    In scripts with case most of its words begin with a capital; in others it is clearly narrower than the
+    ``width`` of its text, or a page number stands on it or beside it.
+    """
+    t = unicodedata.normalize("NFKC", line).strip()
+    bare = _EDGE_NUMBER.sub("", t).strip() or t
+    if bare[0] != "第":
+        words = [w for w in bare.split() if len(w) > 3 and w[0].isalpha()][1:]
+        return 2 * sum(w[0].isupper() for w in words) >= len(words)
+    return bare != t or beside_number or len(_SPACE.sub("", bare)) <= 0.6 * width
+
+
 def book_title(filename: str | None) -> str:
     """The title in a file name: without its ending and its serial number."""
     return re.sub(r"-\d+$", "", re.sub(r"\.\w{1,5}$", "", filename or "")).strip()
 
 
-def _title_classes(book: str, chapters: Iterable[str]) -> tuple[set[str], int]:
+def _title_classes(book: str, chapters: Iterable[str], heads: Iterable[str]) -> tuple[set[str], int]:
+    """(forms of the titles of a file, length of its longest): its book and chapters, and the ``heads`` its pages repeat."""
     titles = {book, re.sub(r"[（(][^）)]*[）)]$", "", book), *chapters} - {""}
-    return {c for c in map(glyph_class, titles) if len(c) >= 3}, max([0, *map(len, titles)])
+    forms = {*map(glyph_class, titles), *heads}
+    return {c for c in forms if len(c) >= 3}, max([0, *map(len, titles), *(2 * len(h) for h in heads)])
 
 
 def label_furniture(lines: list[str], page: int | None, classes: set[str], longest: int, offsets: tuple[int | None, int | None]) -> list[str | None]:
@@ -193,6 +223,12 @@ def label_furniture(lines: list[str], page: int | None, classes: set[str], longe
         elif len(line) <= longest + 40 and is_running_head(line, classes, longest):
             kind = "header"
         out.append(kind)
+    width = max([0, *(len(line.strip()) for line in lines)])
+    for k, line in enumerate(lines):
+        if out[k] is None and len(line) <= 80 and chapter_form(line):
+            beside = "page_number" in (out[k - 1 : k] + out[k + 1 : k + 2])
+            if stands_apart(line, width, beside):
+                out[k] = "header"
     return out
 
 
@@ -245,6 +281,17 @@ def _words(lines: list[str], furniture: list[str | None], broken: list[tuple[int
     return out
 
 
+def _sequence(words: list[list[str]], broken: list[tuple[int, int, str, int]]) -> list[tuple[str, int, int]]:
+    """(word, line, number of the broken word or -1) in the order of the text, broken words joined."""
+    cut = {a: (w, k) for k, (a, _, w, _) in enumerate(broken)}
+    out = []
+    for line, own in enumerate(words):
+        out += [(w, line, -1) for w in own]
+        if line in cut:
+            out.append((cut[line][0], line, cut[line][1]))
+    return out
+
+
 def _condensed(lines: list[str], furniture: list[str | None]) -> tuple[str, list[int]]:
     """Running text without white space, and the number of the line of each character."""
     parts, owner = [], []
@@ -257,7 +304,7 @@ def _condensed(lines: list[str], furniture: list[str | None]) -> tuple[str, list
 
 
 # Kinds of the counts of the first pass.
-WORD, PAIR, JOINED, NUMBER, ROMAN, CHAPTER, CONTEXT = range(7)
+WORD, PAIR, JOINED, NUMBER, ROMAN, CHAPTER, CONTEXT, HEAD = range(8)
 _SEP = "\x00"
 
 
@@ -288,14 +335,14 @@ def first_pass(fields: DataFrame) -> DataFrame:
             other = tally.counts
             columns = [batch.column(k).to_pylist() for k in range(1, 8)]
             for content, page, table, image, layer, file, title in zip(*columns):
-                if file and title and _CHAPTER.match(_SPACE.sub("", title) if title[:1] == "第" else title):
+                if file and title and chapter_form(title):
                     other[CHAPTER, file + _SEP + title] += 1
                 if not content or not is_running_text(content, table, image):
                     continue
                 lines = content.split("\n")
                 if layer == "parent":
                     head = lines[0].strip()
-                    if file and len(head) <= 60 and _CHAPTER.match(_SPACE.sub("", head) if head[:1] == "第" else head):
+                    if file and chapter_form(head):
                         other[CHAPTER, file + _SEP + head] += 1
                 furniture: list[str | None] = [None] * len(lines)
                 if layer != "parent":
@@ -306,11 +353,17 @@ def first_pass(fields: DataFrame) -> DataFrame:
                             if file and page is not None:
                                 value, decorated, roman = number
                                 other[ROMAN if roman else NUMBER, f"{file}{_SEP}{value - page}"] += 3 if decorated else 1
+                        elif file and len(line) <= 80:
+                            head = chapter_form(line)
+                            if head:
+                                other[HEAD, file + _SEP + head] += 1
                 broken = broken_words(lines, furniture)
                 joined.update(w for _, _, w, _ in broken)
-                for own in _words(lines, furniture, broken):
+                listed = _words(lines, furniture, broken)
+                for own in listed:
                     words.update(own)
-                    contexts.update(zip(own, own[1:]))
+                running = [w for w, _, _ in _sequence(listed, broken)]
+                contexts.update(zip(running, running[1:]))
                 text, _ = _condensed(lines, furniture)
                 for run in _RUN.findall(text):
                     pairs.update(zip(run, run[1:]))
@@ -341,58 +394,116 @@ def glyph_edits(word: str) -> list[tuple[str, int]]:
     return out
 
 
-def skip_gram_vectors(counts: DataFrame) -> DataFrame:
-    """``token, vector``: every word's vector from its neighbours, against the most frequent context words.
+def _log_odds(rows: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of the neighbours counted in ``rows``: a word seen seldom has small ones."""
+    total = rows.sum(axis=1, keepdims=True)
+    return np.log((rows + SMOOTHING * share) / ((total + SMOOTHING) * share))
 
-    The context words (at most ``CONTEXT_WORDS``) and their mutual counts are factorised on the driver; the
-    vector of each word, however rare, is folded in from its own counts where they lie.
-    """
+
+class SkipGrams:
+    """Skip-gram vectors in matrix form. ``position``: context word -> number; ``basis``: one row per right, then left, context."""
+
+    def __init__(self, names: list[str], counts: np.ndarray) -> None:
+        self.position = {w: k for k, w in enumerate(names)}
+        total = counts.sum(axis=0) + 1.0
+        self.share = total / total.sum()
+        odds = _log_odds(counts, self.share)
+        _, values, factors = np.linalg.svd(odds, full_matrices=False)
+        rank = max(1, min(VECTOR_SIZE, int((values > 1e-6).sum())))
+        self.basis = factors[:rank].T.astype(np.float32)
+
+    def vectors(self, rows: np.ndarray) -> np.ndarray:
+        """Vectors of words whose neighbours are counted in ``rows``."""
+        return _log_odds(rows, self.share) @ self.basis
+
+    def context(self, before: str | None, after: str | None) -> list[int]:
+        """Rows of ``basis`` of the words around an occurrence."""
+        right, left = self.position.get(after), self.position.get(before)
+        return ([] if right is None else [right]) + ([] if left is None else [len(self.position) + left])
+
+
+def word_model(counts: DataFrame) -> SkipGrams:
+    """The skip-gram factors of the ``CONTEXT_WORDS`` most frequent words, fitted on the driver on their mutual counts."""
+    words = counts.filter(F.col("kind") == WORD).orderBy(F.desc("n"), "token").limit(CONTEXT_WORDS).toPandas()
+    names = list(words["token"])
+    known = counts.sparkSession.createDataFrame([(w,) for w in names] or [("",)], "b string")
+    pair = F.split("token", _SEP)
+    both = counts.filter(F.col("kind") == CONTEXT).select(pair[0].alias("a"), pair[1].alias("b"), "n")
+    few = F.broadcast(known)  # CONTEXT_WORDS rows
+    mutual = both.join(few, "b").join(few.withColumnRenamed("b", "a"), "a").toPandas()  # at most their square
+    at = {w: k for k, w in enumerate(names)}
+    table = np.zeros((max(1, len(names)), 2 * max(1, len(names))))
+    a, b = mutual["a"].map(at).to_numpy(int), mutual["b"].map(at).to_numpy(int)
+    table[a, b] = mutual["n"].to_numpy(float)
+    table[b, len(names) + a] = mutual["n"].to_numpy(float)
+    return SkipGrams(names, table)
+
+
+def word_vectors(counts: DataFrame, model: SkipGrams) -> DataFrame:
+    """``token, vector`` of every word with a neighbour among the context words, however rare, folded in where its counts lie."""
     spark = counts.sparkSession
-    words = counts.filter(F.col("kind") == WORD).select("token", "n")
-    top = words.orderBy(F.desc("n"), "token").limit(CONTEXT_WORDS).toPandas()
-    position = {w: k for k, w in enumerate(top["token"])}
+    shared = spark.sparkContext.broadcast(model)
+    size = len(model.position)
+    known = spark.createDataFrame(list(model.position.items()) or [("", 0)], "b string, c int")
     pair = F.split("token", _SEP)
     both = counts.filter(F.col("kind") == CONTEXT).select(pair[0].alias("a"), pair[1].alias("b"), "n")
-    near = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    known = spark.createDataFrame([(w, k) for w, k in position.items()], "b string, c int")
-    near = near.join(F.broadcast(known), "b").groupBy("a", "c").agg(F.sum("n").alias("n"))  # CONTEXT_WORDS rows
-    rows = near.join(F.broadcast(known.select(F.col("b").alias("a"), F.col("c").alias("r"))), "a").select("r", "c", "n").toPandas()
-    size = max(1, len(position))
-    m = np.zeros((size, size))
-    m[rows["r"].to_numpy(int), rows["c"].to_numpy(int)] = rows["n"].to_numpy(float)
-    total = max(1.0, m.sum())
-    share = np.maximum(m.sum(axis=0), 1.0) / total
-    pmi = np.log(np.maximum(m, 1e-9) * total / np.outer(np.maximum(m.sum(axis=1), 1.0), np.maximum(m.sum(axis=0), 1.0)))
-    positive = np.where(m > 0, np.maximum(pmi - np.log(SHIFT), 0), 0)
-    _, values, vectors = np.linalg.svd(positive, full_matrices=False)
-    rank = min(VECTOR_SIZE, int((values > 1e-9).sum()) or 1)
-    basis = vectors[:rank].T / np.sqrt(np.maximum(values[:rank], 1e-9))
-    shared = spark.sparkContext.broadcast((basis, np.log(share)))
-
-    def fold(pdf):
-        import pandas as pd
-
-        basis, log_share = shared.value
-        out = []
-        for ids, ns in zip(pdf["cs"], pdf["ns"]):
-            ids, ns = np.asarray(ids, int), np.asarray(ns, float)
-            row = np.maximum(np.log(ns / ns.sum()) - log_share[ids] - np.log(SHIFT), 0)
-            out.append((row @ basis[ids]).tolist())
-        return pd.DataFrame({"token": pdf["a"], "vector": out, "seen": [float(np.sum(x)) for x in pdf["ns"]]})
-
-    # At most CONTEXT_WORDS entries per word.
-    grouped = near.groupBy("a").agg(F.collect_list("c").alias("cs"), F.collect_list(F.col("n").cast("double")).alias("ns"))
-    return grouped.mapInPandas(lambda parts: (fold(p) for p in parts), "token string, vector array<double>, seen double")
-
-
-def glyph_links(counts: DataFrame) -> DataFrame:
-    """``token, correct, at``: misread words, with the frequent word they stand for and the place of the edit."""
+    few = F.broadcast(known)  # CONTEXT_WORDS rows
+    right = both.join(few, "b").select(F.col("a").alias("token"), "c", "n")
+    left = both.join(few.withColumnRenamed("b", "a"), "a").select(F.col("b").alias("token"), (F.col("c") + size).alias("c"), "n")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1024):
+                part = batch.slice(begin, 1024)
+                rows = np.zeros((part.num_rows, len(model.share)))
+                for r, near in enumerate(part.column(1).to_pylist()):
+                    for x in near:
+                        rows[r, x["c"]] += x["n"]
+                out = model.vectors(rows).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(out), pa.list_(pa.float32()))], ["token", "vector"])
+
+    # At most two entries per word and context word.
+    grouped = right.unionByName(left).groupBy("token", "c").agg(F.sum("n").alias("n")).groupBy("token").agg(F.collect_list(F.struct("c", "n")).alias("near"))
+    return grouped.mapInArrow(fold, "token string, vector array<float>")
+
+
+def _nearer(likely: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
+    """``likely`` with ``nearer``: how many frequent words are nearer to ``v`` than ``cosine``; in blocks of ``VECTOR_BLOCK`` words."""
+    blocks = max(1, -(-frequent.count() // VECTOR_BLOCK))
+    spark = likely.sparkSession
+    for b in range(blocks):
+        own = frequent if blocks == 1 else frequent.filter(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b)
+        block = own.select("vector").toPandas()["vector"]  # about VECTOR_BLOCK vectors
+        matrix = np.array(list(block), np.float32).reshape(-1, size)
+        shared = spark.sparkContext.broadcast(matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                near = batch.column("nearer").to_numpy().copy()
+                for begin in range(0, batch.num_rows, 256):
+                    part = batch.slice(begin, 256)
+                    v = np.array(part.column("v").to_pylist(), np.float32)
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+                    near[begin : begin + 256] += (v @ shared.value.T > part.column("cosine").to_numpy()[:, None] + 1e-6).sum(axis=1)
+                yield batch.set_column(batch.schema.get_field_index("nearer"), "nearer", pa.array(near))
+
+        likely = likely.mapInArrow(count, likely.schema)
+    return likely
+
+
+def glyph_links(counts: DataFrame, model: SkipGrams) -> DataFrame:
+    """``token, choices``: the frequent words that a word may be a misreading of, each ``correct, at, lead, vector``.
+
+    A choice is one of the ``NEIGHBOURS`` frequent words nearest to the word by their vectors, and a plausible
+    glyph edit leads from it to the word. ``at``: place of the edit; ``lead``: log of how much more frequent it is.
+    """
     words = counts.filter(F.col("kind") == WORD).select("token", "n")
-    common = broadcast_if_small(words.filter(f"n >= {LEAST_RATIO}").select(F.col("token").alias("correct"), F.col("n").alias("often")))
     joined = counts.filter(F.col("kind") == JOINED).select("token", F.lit(1).cast("bigint").alias("n")).join(words.select("token"), "token", "left_anti")
-    rare = words.unionByName(joined)
+    vectors = written(word_vectors(counts, model), "word-vectors")
+    frequent = written(words.filter(f"n >= {LEAST_RATIO}").join(vectors, "token"), "frequent-words")
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, ns, candidates, places = [], [], [], []
             for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -403,22 +514,49 @@ def glyph_links(counts: DataFrame) -> DataFrame:
                     places.append(at)
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(ns, pa.int64()), pa.array(candidates, pa.string()), pa.array(places, pa.int32())], ["token", "n", "correct", "at"])
 
-    proposed = rare.mapInArrow(propose, "token string, n bigint, correct string, at int")
-    likely = written(proposed.join(common, "correct").filter(F.col("often") >= LEAST_RATIO * F.col("n")), "likely-glyphs")
-    vectors = written(skip_gram_vectors(counts), "word-vectors")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    mine = vectors.select("token", F.col("vector").alias("v"), "seen")
-    theirs = vectors.select(F.col("token").alias("correct"), F.col("vector").alias("u"))
-    compared = likely.join(mine, "token", "left").join(theirs, "correct", "left")
-    cosine = dot("v", "u") / F.sqrt(dot("v", "v") * dot("u", "u"))
-    # A word with few neighbours has a vector of little weight and can't disagree.
-    agree = F.coalesce((F.col("seen") < LEAST_SEEN) | (cosine >= LEAST_COSINE), F.lit(True))
-    best = F.max(F.struct(F.coalesce(cosine, F.lit(0.0)), "often", "correct", F.col("at").alias("at"))).alias("best")
-    return compared.filter(agree).groupBy("token").agg(best).select("token", "best.correct", "best.at")
+    plausible = words.unionByName(joined).mapInArrow(edits, "token string, n bigint, correct string, at int")
+    theirs = frequent.select(F.col("token").alias("correct"), F.col("n").alias("often"), F.col("vector").alias("u"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("float"), lambda s, x: s + x)
+    pairs = plausible.join(theirs, "correct").filter("often > n").join(vectors.withColumnRenamed("vector", "v"), "token")
+    cosine = F.coalesce(F.try_divide(dot("v", "u"), F.sqrt(dot("v", "v") * dot("u", "u"))), F.lit(0.0))
+    compared = pairs.select("token", "correct", "at", F.log(F.col("often") / F.col("n")).alias("lead"), "u", "v", cosine.cast("float").alias("cosine"), F.lit(0).cast("bigint").alias("nearer"))
+    near = _nearer(written(compared, "likely-glyphs"), frequent, model.basis.shape[1]).filter(F.col("nearer") < NEIGHBOURS)
+    # At most one choice per glyph edit.
+    return near.groupBy("token").agg(F.collect_list(F.struct("correct", "at", "lead", F.col("u").alias("vector"))).alias("choices"))
+
+
+def read_in_context(waiting: DataFrame, model: SkipGrams) -> DataFrame:
+    """``id, line_no, noise, token, cut, next_no, whole, correct, at``: each occurrence with its correction, or none.
+
+    The choice with the highest odds counts: its lead in frequency, times the odds of the words around the
+    occurrence by its vector; they must reach ``LEAST_RATIO``.
+    """
+    shared = waiting.sparkSession.sparkContext.broadcast(model.basis)
+    kept = ["id", "line_no", "noise", "token", "cut", "next_no", "whole"]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis, least = shared.value, math.log(LEAST_RATIO)
+        for batch in batches:
+            correct, place = [], []
+            for near, choices in zip(batch.column("near").to_pylist(), batch.column("choices").to_pylist()):
+                best, word, at = least, None, None
+                if choices:
+                    around = basis[near].sum(axis=0) if near else np.zeros(basis.shape[1], np.float32)
+                    for c in choices:
+                        odds = c["lead"] + float(np.dot(np.array(c["vector"], np.float32), around))
+                        if odds >= best and (odds > best or word is None or c["correct"] < word):
+                            best, word, at = odds, c["correct"], c["at"]
+                correct.append(word)
+                place.append(at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(correct, pa.string()), pa.array(place, pa.int32())], [*kept, "correct", "at"])
+
+    schema = ", ".join(f"{k} {waiting.schema[k].dataType.simpleString()}" for k in kept)
+    return waiting.select(*kept, "near", "choices").mapInArrow(decide, f"{schema}, correct string, at int")
 
 
 def file_facts(counts: DataFrame) -> DataFrame:
-    """``file, offset, roman_offset, chapters``: printed number of page 0, by the votes of the file's number lines."""
+    """``file, offset, roman_offset, chapters, heads``: printed number of page 0, by the votes of the file's number lines;
+    its chapter titles, and the forms of lines like chapter titles that come back in it."""
     part = F.split("token", _SEP)
     votes = counts.filter(F.col("kind").isin(NUMBER, ROMAN)).select("kind", part[0].alias("file"), part[1].cast("int").alias("d"), "n")
     order = Window.partitionBy("kind", "file").orderBy("d")
@@ -426,16 +564,54 @@ def file_facts(counts: DataFrame) -> DataFrame:
     support = votes.withColumn("s", F.col("n") + following)
     best = support.groupBy("kind", "file").agg(F.max_by("d", F.struct("s", "n", "d")).alias("d"))
     offsets = best.groupBy("file").agg(F.max(F.when(F.col("kind") == NUMBER, F.col("d"))).alias("offset"), F.max(F.when(F.col("kind") == ROMAN, F.col("d"))).alias("roman_offset"))
-    # Chapter titles of a file: as many as it has chapters.
-    chapters = counts.filter(F.col("kind") == CHAPTER).groupBy(part[0].alias("file")).agg(F.collect_set(part[1]).alias("chapters"))
-    return offsets.join(chapters, "file", "full_outer")
-
-
-def han_readings(pairs: dict[str, int], text: str) -> list[tuple[int, str]]:
-    """(position, correction) of misread Han glyphs, from the counts of the pairs they form with their neighbours."""
+    # Titles of a file: as many as it has chapters.
+    named = counts.filter((F.col("kind") == CHAPTER) | ((F.col("kind") == HEAD) & (F.col("n") > 1)))
+    titles = named.groupBy(part[0].alias("file")).agg(
+        F.collect_set(F.when(F.col("kind") == CHAPTER, part[1])).alias("chapters"), F.collect_set(F.when(F.col("kind") == HEAD, part[1])).alias("heads")
+    )
+    return offsets.join(titles, "file", "full_outer")
+
+
+class GlyphReader:
+    """Reads Han glyphs in their context: skip-gram vectors of the confusable glyphs propose, the counts of pairs decide."""
+
+    def __init__(self, pairs: dict[str, int]) -> None:
+        self.pairs = pairs
+        self.glyphs = sorted(_READINGS)
+        own = {g: k for k, g in enumerate(self.glyphs)}
+        chars = sorted({c for p in pairs for c in p})
+        self.at = {c: k for k, c in enumerate(chars)}
+        table = np.zeros((len(own), 2 * max(1, len(chars))))
+        for (a, b), n in pairs.items():
+            if a in own:
+                table[own[a], self.at[b]] += n
+            if b in own:
+                table[own[b], len(chars) + self.at[a]] += n
+        model = SkipGrams(chars or [""], table)
+        self.basis, self.rows, self.own = model.basis, model.vectors(table).astype(np.float32), own
+        self.seen: dict[tuple[str, str], set[str]] = {}
+
+    def proposed(self, x: str, y: str) -> set[str]:
+        """The ``GLYPH_NEIGHBOURS`` confusable glyphs that fit best between ``x`` and ``y``, either of them may be empty."""
+        if (x, y) not in self.seen:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            # A neighbour that may itself be misread counts in each of its readings.
+            score = np.zeros(len(self.glyphs), np.float32)
+            for c, shift in ((y, 0), (x, len(self.at))):
+                forms = [z for z in (c, *sorted(_READINGS.get(c, ()))) if z in self.at]
+                if forms:
+                    score += (self.rows @ self.basis[[self.at[z] + shift for z in forms]].T).max(axis=1)
+            least = np.partition(score, -GLYPH_NEIGHBOURS)[-GLYPH_NEIGHBOURS] if len(score) > GLYPH_NEIGHBOURS else -np.inf
+            self.seen[x, y] = {g for g, v in zip(self.glyphs, score) if v >= least}
+        return self.seen[x, y]
+
+
+def han_readings(reader: GlyphReader, text: str) -> list[tuple[int, str]]:
+    """(position, correction) of misread Han glyphs: proposed by the vectors, decided by the pairs with their neighbours."""
     out = []
     n = len(text)
-    get = pairs.get
+    get = reader.pairs.get
     for m in _CONFUSABLE.finditer(text):
         at = m.start()
         a = text[at]
@@ -461,49 +637,54 @@ def han_readings(pairs: dict[str, int], text: str) -> list[tuple[int, str]]:
                 top = max(top, there)
             if odds > best and top >= LEAST_RATIO:
                 best, correction = odds, b
-        if correction:
+        if correction and correction in reader.proposed(x, y):
             out.append((at, correction))
     return out
 
 
-def noise_candidates(fields: DataFrame, counts: DataFrame, links: DataFrame) -> DataFrame:
-    """``id, line_no, noise, token, cut, next_no``: labels, and words still to be looked up in the counts.
+def _glyph_pairs(counts: DataFrame) -> dict[str, int]:
+    """Counts of the pairs with a confusable glyph: bounded by the glyph table times the characters in use."""
+    listed = counts.filter(F.col("kind") == PAIR).select("token", "n").toPandas()
+    return dict(zip(listed["token"], listed["n"].astype(int)))
+
 
-    ``noise`` is a final label if ``token`` is null; *broken* and *rare* wait for their word.
+def noise_candidates(fields: DataFrame, counts: DataFrame, links: DataFrame, model: SkipGrams) -> DataFrame:
+    """``id, line_no, noise, token, cut, next_no, near``: labels, and words still to be looked up in the counts.
+
+    ``noise`` is a final label if ``token`` is null; *broken* and *rare* wait for their word, ``near`` its context.
     """
     spark = fields.sparkSession
-    facts = file_facts(counts)
-    # Pairs with a confusable glyph: bounded by the glyph table times the characters in use.
-    listed = counts.filter(F.col("kind") == PAIR).select("token", "n").toPandas()
-    pairs = dict(zip(listed["token"], listed["n"].astype(int)))
+    facts = written(file_facts(counts), "file-facts")
+    pairs = _glyph_pairs(counts)
     # Words that are no misreadings need no lookup; the most frequent ones of them are most of the text.
     right = counts.filter(F.col("kind") == WORD).select("token", "n").join(links.select("token"), "token", "left_anti")
     frequent = right.orderBy(F.desc("n"), "token").limit(FREQUENT_WORDS).select("token").toPandas()["token"]
-    shared = spark.sparkContext.broadcast((pairs, frozenset(frequent)))
-    joined = fields.join(facts, "file", "left").select("id", "content", "page", "table", "image", "layer", "file", "book", "offset", "roman_offset", "chapters")
+    shared = spark.sparkContext.broadcast((GlyphReader(pairs), model, frozenset(frequent)))
+    joined = fields.join(broadcast_if_small(facts), "file", "left").select("id", "content", "page", "table", "image", "layer", "file", "book", "offset", "roman_offset", "chapters", "heads")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, frequent = shared.value
+        reader, model, frequent = shared.value
         cache: dict = {}
         for batch in batches:
-            rows, line_no, noise, token, cut, next_no = [], [], [], [], [], []
+            rows, line_no, noise, token, cut, next_no, near = [], [], [], [], [], [], []
 
-            def add(r: int, line: int, what: str, word: str | None = None, at: int | None = None, following: int | None = None) -> None:
+            def add(r: int, line: int, what: str, word: str | None = None, at: int | None = None, following: int | None = None, around: list[int] | None = None) -> None:
                 rows.append(r)
                 line_no.append(line + 1)
                 noise.append(what)
                 token.append(word)
                 cut.append(at)
                 next_no.append(None if following is None else following + 1)
+                near.append(around)
 
-            columns = [batch.column(k).to_pylist() for k in range(1, 11)]
-            for r, (content, page, table, image, layer, file, book, offset, roman, chapters) in enumerate(zip(*columns)):
+            columns = [batch.column(k).to_pylist() for k in range(1, 12)]
+            for r, (content, page, table, image, layer, file, book, offset, roman, chapters, heads) in enumerate(zip(*columns)):
                 if not content or not is_running_text(content, table, image):
                     continue
                 if (file, book) not in cache:
                     if len(cache) > 10_000:
                         cache.clear()
-                    cache[file, book] = _title_classes(book or "", chapters or [])
+                    cache[file, book] = _title_classes(book or "", chapters or [], heads or [])
                 classes, longest = cache[file, book]
                 lines = content.split("\n")
                 furniture: list[str | None] = [None] * len(lines)
@@ -513,23 +694,26 @@ def noise_candidates(fields: DataFrame, counts: DataFrame, links: DataFrame) ->
                         if what:
                             add(r, k, what)
                 broken = broken_words(lines, furniture)
-                for a, b, word, at in broken:
-                    add(r, a, "broken", word, at, b)
-                for k, own in enumerate(_words(lines, furniture, broken)):
-                    for w in own:
-                        if w not in frequent:
-                            add(r, k, "rare", w)
+                running = _sequence(_words(lines, furniture, broken), broken)
+                for k, (w, line, cut_no) in enumerate(running):
+                    if cut_no < 0 and w in frequent:
+                        continue
+                    around = model.context(running[k - 1][0] if k else None, running[k + 1][0] if k + 1 < len(running) else None)
+                    if cut_no < 0:
+                        add(r, line, "rare", w, around=around)
+                    else:
+                        add(r, line, "broken", w, broken[cut_no][3], broken[cut_no][1], around)
                 if _CONFUSABLE.search(content):
                     text, owner = _condensed(lines, furniture)
-                    for k in sorted({owner[at] for at, _ in han_readings(pairs, text)}):
+                    for k in sorted({owner[at] for at, _ in han_readings(reader, text)}):
                         add(r, k, "glyph")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(line_no, pa.int32()), pa.array(noise, pa.string()), pa.array(token, pa.string()), pa.array(cut, pa.int32()), pa.array(next_no, pa.int32())],
-                ["id", "line_no", "noise", "token", "cut", "next_no"],
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(line_no, pa.int32()), pa.array(noise, pa.string()), pa.array(token, pa.string()), pa.array(cut, pa.int32()), pa.array(next_no, pa.int32()), pa.array(near, pa.list_(pa.int32()))],
+                ["id", "line_no", "noise", "token", "cut", "next_no", "near"],
             )
 
     kind = fields.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(label, f"id {kind}, line_no int, noise string, token string, cut int, next_no int")
+    return joined.mapInArrow(label, f"id {kind}, line_no int, noise string, token string, cut int, next_no int, near array<int>")
 
 
 def prepared(df: DataFrame) -> DataFrame:
@@ -548,11 +732,12 @@ def _scan(df: DataFrame) -> dict[str, DataFrame]:
     """All tables of a scan: ``fields, counts, links, found`` and ``waiting``, the words that were looked up."""
     fields = spread(prepared(df))
     counts = written(first_pass(fields.select("id", "content", "page", "table", "image", "layer", "file", "title")), "scan-counts")
-    links = written(glyph_links(counts), "glyph-links")
-    found = written(noise_candidates(fields, counts, links), "noise-candidates")
+    model = word_model(counts)
+    links = written(glyph_links(counts, model), "glyph-links")
+    found = written(noise_candidates(fields, counts, links, model), "noise-candidates")
     words = counts.filter(F.col("kind") == WORD).select("token", F.lit(True).alias("whole"))
     known = words.join(links, "token", "full_outer")
-    waiting = found.filter("token IS NOT NULL").join(known, "token")
+    waiting = read_in_context(found.filter("token IS NOT NULL").join(known, "token"), model)
     return {"fields": fields, "counts": counts, "links": links, "found": found, "waiting": waiting}
 
 
@@ -577,7 +762,7 @@ def _cased(like: str, word: str) -> str:
     return word.upper() if like.isupper() else word.capitalize() if like[:1].isupper() else word
 
 
-def repaired_text(content: str, furniture: set[int], joins: set[int], fixes: dict[str, str], pairs: dict[str, int]) -> str:
+def repaired_text(content: str, furniture: set[int], joins: set[int], fixes: dict[str, str], reader: GlyphReader) -> str:
     """Continuous paragraphs: furniture removed, words joined, glyphs corrected, lines reflowed (line numbers from 1)."""
     lines = [(k, line.rstrip()) for k, line in enumerate(content.split("\n"), 1) if k not in furniture]
     full = [line for _, line in lines if line.strip()]
@@ -619,7 +804,7 @@ def repaired_text(content: str, furniture: set[int], joins: set[int], fixes: dic
     for t in paragraphs:
         if fixes:
             t = _WORD.sub(lambda m: _cased(m[0], fixes[m[0].lower()]) if m[0].lower() in fixes else m[0], t)
-        for at, b in han_readings(pairs, t):
+        for at, b in han_readings(reader, t):
             t = t[:at] + b + t[at + 1 :]
         out.append(t)
     return "\n\n".join(out)
@@ -644,8 +829,7 @@ def repair_scans(df: DataFrame) -> DataFrame:
     # One row per id: the content is the same in every delivery.
     fields = scan["fields"].groupBy("id").agg(F.min(F.struct("content", "table", "image")).alias("f"))
     joined = fields.join(lines, "id", "left").join(words, "id", "left").select("id", "f.content", "f.table", "f.image", "furniture", "joins", "fixes")
-    listed = scan["counts"].filter(F.col("kind") == PAIR).select("token", "n").toPandas()  # bounded as in noise_candidates
-    shared = df.sparkSession.sparkContext.broadcast(dict(zip(listed["token"], listed["n"].astype(int))))
+    shared = df.sparkSession.sparkContext.broadcast(GlyphReader(_glyph_pairs(scan["counts"])))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

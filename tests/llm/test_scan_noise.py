@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+
 import pytest
 
-from chunkweave.llm.scan_noise import glyph_class, printed_number, repair_scans, repaired_text, scan_noise
+from chunkweave.llm import scan_noise as noise
+from chunkweave.llm.scan_noise import GlyphReader, chapter_form, glyph_class, label_furniture, printed_number, repair_scans, repaired_text, scan_noise
 
 SCHEMA = "id string, document_id string, content string, source string, page int, title string, is_table_chunk boolean, is_image_chunk boolean, layer string, token string"
 
@@ -57,4 +60,64 @@ def test_repair(spark):
 
 def test_reflow():
     wrapped = "The first line of the text goes on\nand ends here.\nA second paragraph of the text starts\nand goes on.\n"
-    assert repaired_text(wrapped, set(), set(), {}, {}) == "The first line of the text goes on and ends here.\n\nA second paragraph of the text starts and goes on."
+    assert repaired_text(wrapped, set(), set(), {}, GlyphReader({})) == "The first line of the text goes on and ends here.\n\nA second paragraph of the text starts and goes on."
+
+
+def test_body_lines_are_no_running_heads():
+    body = ["The manual says more.", "Chapter 3 describes how the valve", "is opened and closed by the operator", "of the plant. It goes on."]
+    assert label_furniture(body, 3, set(), 0, (None, None)) == [None] * 4
+    han = ["手册对此有详细的规定和说明，并且要求操作人员", "第三章 讨论了设备检修的周期以及人员的培训要求", "和记录。"]
+    assert label_furniture(han, 3, set(), 0, (None, None)) == [None] * 3
+    assert label_furniture(["第九章 检查", *han], 3, set(), 0, (None, None))[0] == "header"
+    assert label_furniture(["CHAPTFR 2 Pump Room", "CHAPTCR 2 PUMP ROOM   4", "Chapter 4 Low-voltage Alarm", *body], 3, set(), 0, (None, None))[:3] == [None, "header", "header"]
+    assert chapter_form("Cbaptcr 7 Safety") == chapter_form("Chapter 7 Safety") and chapter_form("Chapter seven") is None
+
+
+def ambiguous():
+    """Texts in which ``lcad`` may be *load* or *lead*, and ``arc`` is no misreading of the frequent *are*."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(120):
+        lines = []
+        for _ in range(12):
+            lines.append("the pump load sensor shows " + rng.choice(["high", "low"]) + " values")
+            lines.append("old lead paint contains " + rng.choice(["toxic", "heavy"]) + " metal")
+            lines.append("rules are strict when valves are closed")
+            lines.append("welding smoke voltage needs " + rng.choice(["masks", "gloves"]) + " daily")
+        rows.append((f"r{k}", "d", "\n".join(lines), "Guide-0001.pdf", k, None, False, False, "child", "x"))
+    rows.append(("x", "d", "the pump lcad sensor shows high values\nold lcad paint contains heavy metal\nwelding arc voltage needs masks daily", "Guide-0001.pdf", 300, None, False, False, "child", "x"))
+    return rows
+
+
+def test_vectors_decide_in_context(spark, monkeypatch):
+    df = spark.createDataFrame(ambiguous(), SCHEMA)
+    read = {(r.id, r.line_no): (r.token, r.correct) for r in noise._scan(df)["waiting"].filter("correct IS NOT NULL").collect()}
+    assert read == {("x", 1): ("lcad", "load"), ("x", 2): ("lcad", "lead")}
+
+    fitted = noise.word_model
+
+    def without(counts):
+        model = fitted(counts)
+        model.basis = np.zeros_like(model.basis)
+        return model
+
+    monkeypatch.setattr(noise, "word_model", without)
+    blind = {(r.id, r.line_no): (r.token, r.correct) for r in noise._scan(df)["waiting"].filter("correct IS NOT NULL").collect()}
+    assert blind != read and ("x", 3) in blind  # without vectors one reading is wrong and a right word is called misread
+
+
+def test_vectors_propose_glyphs():
+    rng = random.Random(1)
+    around = "监控设备压力阀门温度电源记录"
+    counts: dict[str, int] = {}
+    for _ in range(4000):
+        a, b, c = rng.choice(around), "检", rng.choice("查测修")
+        for p in (a + b, b + c):
+            counts[p] = counts.get(p, 0) + 1
+    counts["备捡"] = counts["捡查"] = 1
+    reader = GlyphReader(counts)
+    assert noise.han_readings(reader, "设备捡查") == [(2, "检")]
+    # Vectors that point elsewhere propose other glyphs, and the misreading stays.
+    reader.rows = -reader.rows
+    reader.seen.clear()
+    assert noise.han_readings(reader, "设备捡查") == []
