@@ -10,13 +10,13 @@ from chunkweave.runtime import table
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False)
+    units = split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False, lang="lang")
     return units.select(F.col("item_id").alias("doc_id"), "end_pos").distinct()
 
 
 def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence texts in order, once per document."""
-    units = split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+    units = split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text", lang="lang")
     return units.select(F.col("item_id").alias("doc_id"), "sentence_no", "end_pos", "sentence").dropDuplicates(["doc_id", "sentence_no", "end_pos"])
 
 

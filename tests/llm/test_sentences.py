@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chunkweave.llm.sentences import sentence_spans, split_sentences
+from chunkweave.llm.sentences import language, sentence_spans, split_sentences
 
 
 def units(text):
@@ -28,6 +28,13 @@ def units(text):
         ("（注を参照。）。なぜ！？「止める。次。」と。", ["（注を参照。）。", "なぜ！？", "「止める。次。」と。"]),
         ("क्र. 25 के अनुसार। “पहले। फिर।” और मान्य।", ["क्र. 25 के अनुसार।", "“पहले। फिर।” और मान्य।"]),
         ("هل تم؟ «أوقف. ثم افحص.» وهذا ملزم.", ["هل تم؟", "«أوقف. ثم افحص.» وهذا ملزم."]),
+        ("Stop!, and ran. What?: yes.", ["Stop!, and ran.", "What?: yes."]),
+        ("Use the tab. Then press enter. See the tab. 4.", ["Use the tab.", "Then press enter.", "See the tab. 4."]),
+        ("He bought a new str. The end is near to it.", ["He bought a new str.", "The end is near to it."]),
+        ("The letter was sent to Gov. Smith. It is here.", ["The letter was sent to Gov. Smith.", "It is here."]),
+        ("Die Pumpe steht in der Werkstr. Siehe Tab. 3 und Abb. 2 mit den Werten.", ["Die Pumpe steht in der Werkstr.", "Siehe Tab. 3 und Abb. 2 mit den Werten."]),
+        ("Насос показан (рис. 5) на схеме, см. Приложение. Проверьте.", ["Насос показан (рис. 5) на схеме, см. Приложение.", "Проверьте."]),
+        ("The word Bd. Then und so weiter of the list is here. Voilà m. Dupont.", ["The word Bd.", "Then und so weiter of the list is here.", "Voilà m. Dupont."]),
         ("คู่มือ PDF ระบุว่า ห้องควบคุม ทุก 12 เดือน", ["คู่มือ PDF ระบุว่า", "ห้องควบคุม", "ทุก 12 เดือน"]),
     ],
 )
@@ -53,3 +60,8 @@ def test_defined_cases(spark):
     assert {r.item_id for r in out} == {4, 5, None}
     assert sum(r.item_id == 5 for r in out) == 4
     assert split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_language_by_words_then_by_column():
+    assert language("Der Wert ist zu hoch", "en") == "de" and language("Abb. 3", "German") == "de"
+    assert language("阀门 ABC", None) == "" and language("", "xx") == "" and language("the pump and the valve", "de-DE") == "en"
