@@ -117,3 +117,13 @@ def first_rows(df: DataFrame, key: str, at: str | None = None) -> DataFrame:
         .agg(F.min_by(row, order).alias("__row"))
     )
     return out.select(key, *[F.col("__row").getField(c).alias(c) for c in others])
+
+
+def once_per_key(df: DataFrame, key: str, at: str | None = None) -> DataFrame:
+    """One row per key like :func:`first_rows`, but only repeated keys are shuffled; rows with a null key stay.
+
+    For wide rows of which few are repeated: the keys alone are counted, and rows of keys that occur once stay where they are.
+    """
+    many = written(df.groupBy(key).agg(F.count("*").alias("__n")).filter(f"__n > 1 AND `{key}` IS NOT NULL").select(key), "repeated-keys")
+    many = broadcast_if_small(many)
+    return df.join(many, key, "left_anti").select(*df.columns).unionByName(first_rows(df.join(many, key, "left_semi"), key, at).select(*df.columns))
