@@ -6,8 +6,11 @@
 3. A bucket of two gives its pair; a bucket of more first links every member to its least one. Pairs
    whose collision-corrected similarity, from the count of equal b-bit fields, may reach the threshold
    are checked exactly, and components are formed.
-4. Only buckets still holding several components are compared further: split into blocks of bounded size,
-   each pair of blocks is one group of work in which bit counts pick the pairs across components.
+4. Buckets still holding several components first link one text of each component to the bucket's least one, and
+   components are formed again.
+5. Only buckets that hold several components even then are compared further: split into blocks of bounded size, in
+   which a component lies in one block or has blocks of its own. Only blocks of different components meet, and in
+   them bit counts pick the pairs, so a component as large as the bucket beside one stray text costs no square.
 No bucket is capped and no link between different components is skipped.
 """
 
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkweave.operators.components import connected_components
-from chunkweave.runtime import spread, written
+from chunkweave.runtime import drop_written, spread, written
 
 HASHES, BITS, ROWS = 96, 4, 3
 BANDS = HASHES // ROWS
@@ -189,44 +192,66 @@ def _checked(pairs: DataFrame, nodes: DataFrame, threshold: float, width: int) -
 
 
 def _cell_pairs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All (a, b), a < b, inside consecutive cells, given for each row as its index and the end of its cell, in parts."""
-    counts = end - start - 1
+    """All (a, b) with ``start[a] <= b < end[a]``, in parts."""
+    counts = end - start
     total = np.cumsum(counts)
     begin = 0
     while begin < len(counts):
         base = total[begin - 1] if begin else 0
         stop = max(begin + 1, int(np.searchsorted(total, base + _PAIRS, side="right")))
         n = counts[begin:stop]
-        a = np.repeat(start[begin:stop], n)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        a = np.repeat(np.arange(begin, stop), n)
+        b = np.repeat(start[begin:stop], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
         if len(a):
             yield a, b
         begin = stop
 
 
-def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs across components inside buckets ``(key, size, rid, comp, sig)``, by pairs of blocks.
+def _cells(rows: DataFrame) -> DataFrame:
+    """``key, i, j, own, rid, comp, sig``: each row of a bucket in every cell (pair of blocks) where it meets other components.
 
-    A cell holds one block or two blocks of a bucket, so at most ``2 * BLOCK`` rows; many cells share a task.
+    A component of at least ``BLOCK`` rows has blocks of its own; the others are spread whole over mixed blocks by a
+    hash of the component. The blocks of one component never meet each other.
     """
+    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    large = F.col("n") >= BLOCK
+    own_blocks = F.when(large, F.ceil(F.col("n") / BLOCK)).otherwise(0).cast("int")
+    # At most a bucket's size over BLOCK components have blocks of their own.
+    big = F.sort_array(F.collect_list(F.when(large, F.struct("comp", own_blocks.alias("blocks")))))
+    mixed = F.greatest(F.lit(1), F.ceil(F.sum(F.when(large, 0).otherwise(F.col("n"))) / BLOCK)).cast("int")
+    layout = counts.groupBy("key").agg(big.alias("big"), mixed.alias("mixed"), F.sum(own_blocks).cast("int").alias("pure"))
+    at = F.aggregate("big", F.struct(F.lit(0).alias("sum"), F.lit(-1).alias("from"), F.lit(0).alias("blocks")), lambda s, x: F.struct(
+        (s["sum"] + x["blocks"]).alias("sum"),
+        F.when(x["comp"] == F.col("comp"), s["sum"]).otherwise(s["from"]).alias("from"),
+        F.when(x["comp"] == F.col("comp"), x["blocks"]).otherwise(s["blocks"]).alias("blocks"),
+    ))
+    placed = rows.join(layout, "key").withColumn("at", at)
+    begin = F.when(F.col("at.from") >= 0, F.col("mixed") + F.col("at.from"))
+    own = F.coalesce(begin + F.pmod(F.xxhash64("rid"), F.col("at.blocks")).cast("int"), F.pmod(F.xxhash64("comp"), F.col("mixed")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("mixed") + F.col("pure") - 1)
+    others = F.filter(every, lambda k: F.coalesce((k < begin) | (k >= begin + F.col("at.blocks")), F.lit(True)))
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    return placed.withColumn("own", own).select("key", "rid", "comp", "sig", "own", F.explode(pairs).alias("c")).select("key", "c.i", "c.j", "own", "rid", "comp", "sig")
+
+
+def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs across components inside buckets ``(key, rid, comp, sig)``, by pairs of blocks; many cells share a task."""
     least = _least_estimate(threshold)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    placed = rows.select("key", "rid", "comp", "sig", own.alias("own"), F.explode(cells).alias("c")).select("key", "c.i", "c.j", "own", "rid", "comp", "sig")
     # Cells stay together in a partition and lie next to each other; only a cell cut by a batch is carried over.
-    near = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = _cells(rows).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "comp")
 
     def pairs(table: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
         index = np.arange(len(cell))
-        last = np.flatnonzero(np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
-        end = last[np.searchsorted(last, index, side="right")]
         i, j, own, rid, comp = (table.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+        # Rows of one block, or in a single block of one component, don't meet.
+        kin = np.where(i == j, comp, own)
+        cells = np.flatnonzero(np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
+        runs = np.flatnonzero(np.concatenate(((cell[1:] != cell[:-1]) | (kin[1:] != kin[:-1]), [True]))) + 1
+        end = cells[np.searchsorted(cells, index, side="right")]
+        start = runs[np.searchsorted(runs, index, side="right")]
         sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(cell), -1)
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in _cell_pairs(index, end):
-            ok = (comp[a] != comp[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
-            a, b = a[ok], b[ok]
+        for a, b in _cell_pairs(start, end):
             ok = corrected_similarity(sig[a], sig[b]) >= least
             us.append(np.minimum(rid[a[ok]], rid[b[ok]]))
             vs.append(np.maximum(rid[a[ok]], rid[b[ok]]))
@@ -271,22 +296,35 @@ def near_duplicate_groups(
     buckets = written(
         banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("size > 1"), "buckets"
     )
-    large = buckets.filter("size > 2").select("key", "size", "lo")
-    members = written(banded.join(large, "key"), "members")
+    members = written(banded.join(buckets.filter("size > 2").select("key", "lo"), "key"), "members")
     pairs = (
         buckets.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         .unionByName(members.filter("rid != lo").select(F.col("lo").alias("u"), F.col("rid").alias("v")))
         .distinct()
     )
     linked = written(_checked(pairs, signed, threshold, width), "linked")
+
+    def labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """``key, rid, comp`` of the buckets that hold several components."""
+        named = rows.select("key", "rid").join(parts.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
+        split = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("key")
+        return named.join(split, "key", "left_semi")
+
     parts = written(connected_components(linked), "parts")
-    labelled = members.join(parts.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("component", "rid"))
-    split = labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("key")
-    rest = labelled.join(split, "key", "left_semi").select("key", "size", "rid", "comp").join(signed.select("rid", "sig"), "rid")
+    several = written(labelled(members, parts), "several")
+    # A second round of stars, between one text of each component.
+    first = several.groupBy("key", "comp").agg(F.min("rid").alias("rid"))
+    hub = first.groupBy("key").agg(F.min("rid").alias("hub"))
+    stars = first.join(hub, "key").filter("rid != hub").select(F.col("hub").alias("u"), F.col("rid").alias("v")).distinct().join(linked, ["u", "v"], "left_anti")
+    linked_too = written(_checked(stars, signed, threshold, width), "linked-too")
+    parts_too = written(connected_components(linked.unionByName(linked_too)), "parts-too")
+    rest = written(labelled(several, parts_too).join(signed.select("rid", "sig"), "rid"), "rest")
     across = written(_block_pairs(rest, threshold), "across")
     more = _checked(across, signed, threshold, width)
-    final = connected_components(linked.unionByName(more))
+    final = written(connected_components(linked.unionByName(linked_too).unionByName(more)), "components")
     owned = signed.select("id", "digest").join(copies, "digest").select("id", F.col("rep").alias("node")).join(final, "node", "left")
     member = written(owned.select("id", F.coalesce("component", "node").alias("group")).distinct(), "owned")
+    for step in (signed, copies, buckets, members, linked, parts, several, linked_too, parts_too, rest, across, final):
+        drop_written(step)
     groups = member.groupBy("group").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
     return member.join(groups, "group").groupBy("id").agg(F.min("first_id").alias("first_id"), F.max("copies").alias("copies"))

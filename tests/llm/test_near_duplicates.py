@@ -57,3 +57,33 @@ def test_estimate_is_corrected():
     assert abs(corrected_similarity(s[0], s[1]) - exact_jaccard(a, b, 5)) < 0.2
     assert np.all(corrected_similarity(s[0], s[0]) == 1)
 
+
+
+def test_blocks_meet_every_pair_of_components_once(spark, monkeypatch):
+    """A large component, strays and middling ones in one bucket: all pairs of different components, and no others."""
+    from chunkweave.llm import near_duplicates as nd
+
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    sig = bytes(nd.HASHES // 2)
+    comps = [1] * 40 + [50, 51, 52] + [60] * 5 + [70] * 3 + [80, 81]
+    rows = [("k", n, c, sig) for n, c in enumerate(comps)] + [("m", 100 + n, n % 2, sig) for n in range(3)] + [("e", 200 + n, 7, sig) for n in range(6)]
+    df = spark.createDataFrame(rows, "key string, rid bigint, comp bigint, sig binary").selectExpr("xxhash64(key) AS key", "rid", "comp", "sig")
+    got = sorted((r.u, r.v) for r in nd._block_pairs(df, 0.6).collect())
+    want = sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and a[1] < b[1])
+    assert got == want
+    most = nd._cells(df).groupBy("key", "i", "j").count().agg({"count": "max"}).first()[0]
+    assert most <= 24  # two blocks, uneven by their hash
+    assert nd._cells(df).filter("comp = 1").count() < 40 * 12
+
+
+def test_a_component_beside_one_stray(spark):
+    """A bucket filled by one component but for one text still gives that text's links."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    base = [word() for _ in range(60)]
+    rows = [(f"a{k:03d}", " ".join([*base[:55], *[word() for _ in range(5)]])) for k in range(80)]
+    other = [*base[:40], *[word() for _ in range(20)]]
+    rows += [("z1", " ".join(other)), ("z2", " ".join([*base[:47], *other[40:53]]))]
+    df = spark.createDataFrame(rows, "id string, content string")
+    got = sorted((r.first_id, r.id) for r in near_duplicate_groups(df, "id", "content").collect() if r.id != r.first_id)
+    assert got == brute(rows)
