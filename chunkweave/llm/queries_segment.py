@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkweave.llm.segment import split_oversized
-from chunkweave.runtime import table
+from chunkweave.runtime import once_per_key, table
 
 
 def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oversized rows: null contents never pass the filter."""
-    return table(spark, sf_dir, "tmp_chunks_upload").select("id", "content").filter(F.length("content") > 1000)
+    return table(spark, sf_dir, "tmp_chunks_upload").select("id", "content", "created_at").filter(F.length("content") > 1000)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of the oversized contents, once per id."""
-    rows = _oversized(spark, sf_dir).groupBy("id").agg(F.min("content").alias("content"))
+    rows = once_per_key(_oversized(spark, sf_dir).filter("id IS NOT NULL"), "id", "created_at")
     return split_oversized(rows, "id", "content").select(
         F.col("item_id").alias("id"), "piece_no", "start_pos", "end_pos", "cut", "piece"
     )
