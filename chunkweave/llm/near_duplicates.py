@@ -6,9 +6,7 @@
 3. A bucket of two gives its pair; a bucket of more first links every member to its least one. Pairs
    whose collision-corrected similarity, from the count of equal b-bit fields, may reach the threshold
    are checked exactly, and components are formed.
-4. Buckets still holding several components first link one text of each component to the bucket's least one, and
-   components are formed again.
-5. Only buckets that hold several components even then are compared further: split into blocks of bounded size, in
+4. Only buckets still holding several components are compared further: split into blocks of bounded size, in
    which a component lies in one block or has blocks of its own. Only blocks of different components meet, and in
    them bit counts pick the pairs, so a component as large as the bucket beside one stray text costs no square.
 No bucket is capped and no link between different components is skipped.
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkweave.operators.components import connected_components
-from chunkweave.runtime import drop_written, spread, written
+from chunkweave.runtime import broadcast_if_small, drop_written, spread, written
 
 HASHES, BITS, ROWS = 96, 4, 3
 BANDS = HASHES // ROWS
@@ -158,11 +156,11 @@ def signed_texts(df: DataFrame, key: str, text: str, width: int, least_chars: in
     return written(signed.withColumn("rid", F.monotonically_increasing_id()), "signed")
 
 
-def _checked(pairs: DataFrame, nodes: DataFrame, threshold: float, width: int) -> DataFrame:
+def _checked(pairs: DataFrame, nodes: DataFrame, sigs: DataFrame, threshold: float, width: int) -> DataFrame:
     """The pairs ``(u, v)`` whose texts are alike: estimate first, exact Jaccard of the shingle sets after."""
     least = _least_estimate(threshold)
-    texts = nodes.select("rid", "sig", "norm")
-    sig = nodes.select("rid", "sig")
+    texts = nodes.select("rid", "norm")
+    sig = broadcast_if_small(sigs)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,11 +175,7 @@ def _checked(pairs: DataFrame, nodes: DataFrame, threshold: float, width: int) -
             keep = [exact_jaccard(x, y, width) >= threshold for x, y in zip(a, b)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    signed = (
-        pairs.join(sig.select(F.col("rid").alias("u"), F.col("sig").alias("su")), "u")
-        .join(sig.select(F.col("rid").alias("v"), F.col("sig").alias("sv")), "v")
-        .select("u", "v", "su", "sv")
-    )
+    signed = pairs.join(sig.withColumnsRenamed({"rid": "u", "sig": "su"}), "u").join(sig.withColumnsRenamed({"rid": "v", "sig": "sv"}), "v").select("u", "v", "su", "sv")
     kept = written(signed.mapInArrow(likely, "u bigint, v bigint"), "likely")
     both = (
         kept.join(texts.select(F.col("rid").alias("u"), F.col("norm").alias("tu")), "u")
@@ -207,7 +201,12 @@ def _cell_pairs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray
         begin = stop
 
 
-def _cells(rows: DataFrame) -> DataFrame:
+def several_components(named: DataFrame) -> DataFrame:
+    """``key`` of the buckets ``(key, rid, comp)`` that hold several components."""
+    return named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("key")
+
+
+def _cells(rows: DataFrame, signatures: DataFrame) -> DataFrame:
     """``key, i, j, own, rid, comp, sig``: each row of a bucket in every cell (pair of blocks) where it meets other components.
 
     A component of at least ``BLOCK`` rows has blocks of its own; the others are spread whole over mixed blocks by a
@@ -225,20 +224,21 @@ def _cells(rows: DataFrame) -> DataFrame:
         F.when(x["comp"] == F.col("comp"), s["sum"]).otherwise(s["from"]).alias("from"),
         F.when(x["comp"] == F.col("comp"), x["blocks"]).otherwise(s["blocks"]).alias("blocks"),
     ))
-    placed = rows.join(layout, "key").withColumn("at", at)
+    placed = rows.join(layout, "key").withColumn("at", at)  # the signature comes after, so that it is shuffled once
     begin = F.when(F.col("at.from") >= 0, F.col("mixed") + F.col("at.from"))
     own = F.coalesce(begin + F.pmod(F.xxhash64("rid"), F.col("at.blocks")).cast("int"), F.pmod(F.xxhash64("comp"), F.col("mixed")).cast("int"))
     every = F.sequence(F.lit(0), F.col("mixed") + F.col("pure") - 1)
     others = F.filter(every, lambda k: F.coalesce((k < begin) | (k >= begin + F.col("at.blocks")), F.lit(True)))
     pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    return placed.withColumn("own", own).select("key", "rid", "comp", "sig", "own", F.explode(pairs).alias("c")).select("key", "c.i", "c.j", "own", "rid", "comp", "sig")
+    met = placed.withColumn("own", own).select("key", "rid", "comp", "own", pairs.alias("cells")).join(broadcast_if_small(signatures), "rid")
+    return met.select("key", F.explode("cells").alias("c"), "own", "rid", "comp", "sig").select("key", "c.i", "c.j", "own", "rid", "comp", "sig")
 
 
-def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs across components inside buckets ``(key, rid, comp, sig)``, by pairs of blocks; many cells share a task."""
+def _block_pairs(rows: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs across components inside buckets ``(key, rid, comp)``, with ``signatures`` ``(rid, sig)``, by pairs of blocks; many cells share a task."""
     least = _least_estimate(threshold)
     # Cells stay together in a partition and lie next to each other; only a cell cut by a batch is carried over.
-    near = _cells(rows).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "comp")
+    near = _cells(rows, signatures).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "comp")
 
     def pairs(table: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
         index = np.arange(len(cell))
@@ -292,39 +292,27 @@ def near_duplicate_groups(
     signed = signed_texts(df, key, text, width, least_chars)
     copies = written(signed.groupBy("digest").agg(F.min("rid").alias("rep")), "copies")
     nodes = signed.join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    sigs = written(nodes.select("rid", "sig"), "signatures")
     banded = nodes.select("rid", F.explode("bands").alias("key"))
     buckets = written(
         banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("size > 1"), "buckets"
     )
-    members = written(banded.join(buckets.filter("size > 2").select("key", "lo"), "key"), "members")
+    members = written(banded.join(broadcast_if_small(buckets.filter("size > 2").select("key", "lo")), "key"), "members")
     pairs = (
         buckets.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         .unionByName(members.filter("rid != lo").select(F.col("lo").alias("u"), F.col("rid").alias("v")))
         .distinct()
     )
-    linked = written(_checked(pairs, signed, threshold, width), "linked")
-
-    def labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
-        """``key, rid, comp`` of the buckets that hold several components."""
-        named = rows.select("key", "rid").join(parts.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
-        split = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("key")
-        return named.join(split, "key", "left_semi")
-
+    linked = written(_checked(pairs, signed, sigs, threshold, width), "linked")
     parts = written(connected_components(linked), "parts")
-    several = written(labelled(members, parts), "several")
-    # A second round of stars, between one text of each component.
-    first = several.groupBy("key", "comp").agg(F.min("rid").alias("rid"))
-    hub = first.groupBy("key").agg(F.min("rid").alias("hub"))
-    stars = first.join(hub, "key").filter("rid != hub").select(F.col("hub").alias("u"), F.col("rid").alias("v")).distinct().join(linked, ["u", "v"], "left_anti")
-    linked_too = written(_checked(stars, signed, threshold, width), "linked-too")
-    parts_too = written(connected_components(linked.unionByName(linked_too)), "parts-too")
-    rest = written(labelled(several, parts_too).join(signed.select("rid", "sig"), "rid"), "rest")
-    across = written(_block_pairs(rest, threshold), "across")
-    more = _checked(across, signed, threshold, width)
-    final = written(connected_components(linked.unionByName(linked_too).unionByName(more)), "components")
+    named = members.select("key", "rid").join(broadcast_if_small(parts.withColumnRenamed("node", "rid")), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
+    rest = written(named.join(several_components(named), "key", "left_semi"), "rest")
+    across = written(_block_pairs(rest, sigs, threshold), "across")
+    more = _checked(across, signed, sigs, threshold, width)
+    final = written(connected_components(linked.unionByName(more)), "components")
     owned = signed.select("id", "digest").join(copies, "digest").select("id", F.col("rep").alias("node")).join(final, "node", "left")
     member = written(owned.select("id", F.coalesce("component", "node").alias("group")).distinct(), "owned")
-    for step in (signed, copies, buckets, members, linked, parts, several, linked_too, parts_too, rest, across, final):
+    for step in (signed, sigs, copies, buckets, members, linked, parts, rest, across, final):
         drop_written(step)
     groups = member.groupBy("group").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
     return member.join(groups, "group").groupBy("id").agg(F.min("first_id").alias("first_id"), F.max("copies").alias("copies"))

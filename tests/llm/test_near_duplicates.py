@@ -68,12 +68,13 @@ def test_blocks_meet_every_pair_of_components_once(spark, monkeypatch):
     comps = [1] * 40 + [50, 51, 52] + [60] * 5 + [70] * 3 + [80, 81]
     rows = [("k", n, c, sig) for n, c in enumerate(comps)] + [("m", 100 + n, n % 2, sig) for n in range(3)] + [("e", 200 + n, 7, sig) for n in range(6)]
     df = spark.createDataFrame(rows, "key string, rid bigint, comp bigint, sig binary").selectExpr("xxhash64(key) AS key", "rid", "comp", "sig")
-    got = sorted((r.u, r.v) for r in nd._block_pairs(df, 0.6).collect())
+    df, sigs = df.drop("sig"), df.select("rid", "sig")
+    got = sorted((r.u, r.v) for r in nd._block_pairs(df, sigs, 0.6).collect())
     want = sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and a[1] < b[1])
     assert got == want
-    most = nd._cells(df).groupBy("key", "i", "j").count().agg({"count": "max"}).first()[0]
+    most = nd._cells(df, sigs).groupBy("key", "i", "j").count().agg({"count": "max"}).first()[0]
     assert most <= 24  # two blocks, uneven by their hash
-    assert nd._cells(df).filter("comp = 1").count() < 40 * 12
+    assert nd._cells(df, sigs).filter("comp = 1").count() < 40 * 12
 
 
 def test_a_component_beside_one_stray(spark):
