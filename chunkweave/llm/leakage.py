@@ -23,6 +23,8 @@ from chunkweave.runtime import broadcast_if_small, spread, written
 
 GRAM = 10
 CHAIN = 4
+#: Diagonals of a text that are extended together, about.
+LINES = 4096
 _NOT_KEPT = regex.compile(r"[^\p{L}\p{N}]+")
 # Odd multipliers of a polynomial hash modulo 2**64.
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
@@ -155,21 +157,27 @@ def phrase_diagonals(postings: DataFrame, phrases: DataFrame, gram: int = GRAM,
 
 
 def leaked_items(
-    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: list[str], least: int = 50
+    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: list[str], least: int = 50, index: DataFrame | None = None
 ) -> DataFrame:
     """``doc_key, item_key, run``: training texts sharing a run of ``least`` characters with a test item.
 
     ``run`` is the longest shared run found. Null, empty and short texts on either side give no row; a
     repeated row counts once; a text that leaked into many documents is reported for each. The test
-    vocabulary is broadcast only while its estimated size is small, else it is joined by shuffle.
+    vocabulary is broadcast only while its estimated size is small, else it is joined by shuffle. ``index``: the
+    stored postings of ``docs`` from :func:`build_postings`, so that further test sets don't read the texts again;
+    without it only the postings with terms of this test set are kept.
     """
     if least < GRAM * (CHAIN + 1) - 1:
         raise ValueError(f"runs below {GRAM * (CHAIN + 1) - 1} characters need smaller blocks")
     phrases = written(item_phrases(items, item_key, item_texts), "phrases")
-    postings = written(_restricted(build_postings(docs, key, text), phrases), "postings")
-    found = phrase_diagonals(postings, phrases)
+    postings = written(_restricted(build_postings(docs, key, text) if index is None else index, phrases), "postings")
+    found = written(phrase_diagonals(postings, phrases), "diagonals")
     norms = phrases.filter("norm IS NOT NULL").select("item_key", "field", "norm").dropDuplicates(["item_key", "field"])
-    lines = found.join(norms, ["item_key", "field"]).groupBy("doc_key").agg(F.collect_set(F.struct("item_key", "norm", "diagonal")).alias("lines"))
+    # A repetitive text has very many diagonals: they come in groups of bounded size.
+    groups = found.groupBy("doc_key").agg(F.ceil(F.count("*") / LINES).alias("groups"))
+    salt = F.pmod(F.xxhash64("item_key", "field", "diagonal"), F.col("groups"))
+    salted = found.join(groups, "doc_key").withColumn("salt", salt).join(broadcast_if_small(norms), ["item_key", "field"])
+    lines = salted.groupBy("doc_key", "salt").agg(F.collect_set(F.struct("item_key", "norm", "diagonal")).alias("lines"))
     texts = docs.select(F.col(f"`{key}`").alias("doc_key"), F.col(f"`{text}`").alias("__text")).filter("__text IS NOT NULL")
     both = texts.join(lines, "doc_key").select("doc_key", "__text", "lines")
 
@@ -217,20 +225,21 @@ def _best_windows(hits, near: int, drift: int, least: int):
 
 
 def proximity_matches(
-    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: list[str], rarest: int = 8, near: int = 400, least: int = 3, drift: int = 32
+    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: list[str], rarest: int = 8, near: int = 400, least: int = 3, drift: int = 32,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """``doc_key, item_key, terms``: texts holding at least ``least`` of an item's terms along it within ``near`` characters.
 
     Finds passages that were edited so often that no long run is left. All terms of an item count, however many
     texts hold them, where their places in text and item differ by the same number up to ``drift``; the ``rarest``
     terms (by document frequency, ties: term) count in any order. ``terms``: the item's terms in its fullest window.
-    Windows overlap by half. Defined cases as in :func:`leaked_items`.
+    Windows overlap by half. Defined cases and ``index`` as in :func:`leaked_items`.
     """
     import pandas as pd
     from pyspark.sql import Window
 
     phrases = written(item_phrases(items, item_key, item_texts), "phrases")
-    postings = written(_restricted(build_postings(docs, key, text), phrases), "postings")
+    postings = written(_restricted(build_postings(docs, key, text) if index is None else index, phrases), "postings")
     df = postings.groupBy("term").agg(F.countDistinct("doc_key").alias("df"))
     listed = phrases.select("item_key", "field", "at", F.posexplode("terms").alias("no", "term"))
     listed = listed.select("item_key", "field", "term", (F.col("at") + F.col("no") * GRAM).alias("offset")).distinct()
