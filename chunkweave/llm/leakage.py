@@ -246,22 +246,20 @@ def proximity_matches(
     order = Window.partitionBy("item_key").orderBy("df", "term")
     ranked = listed.select("item_key", "term").distinct().join(df, "term").withColumn("n", F.row_number().over(order))
     terms = written(listed.join(ranked.select("item_key", "term", (F.col("n") <= rarest).alias("rare")), ["item_key", "term"]), "terms")
-    one = F.struct("item_key", "field", "offset", "term", "pos", "rare")
-    hits = postings.join(broadcast_if_small(terms), "term").groupBy("doc_key").agg(F.collect_list(one).alias("hits"))
+    # One list per text and item: as long as the text repeats the item's terms.
+    one = F.struct("field", "offset", "term", "pos", "rare")
+    hits = postings.join(broadcast_if_small(terms), "term").groupBy("doc_key", "item_key").agg(F.collect_list(one).alias("hits"))
+    hits = hits.filter(F.size("hits") >= least)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            keys, field, offset, term, pos, rare = lists.flatten().flatten()
-            coded = keys.dictionary_encode()
-            columns = {"item": coded.indices, "field": field, "offset": offset, "term": term, "pos": pos, "rare": rare}
+            lists = batch.column(2)
+            columns = dict(zip(("field", "offset", "term", "pos", "rare"), lists.flatten().flatten()))
             rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            own = pd.DataFrame({"row": rows} | {k: v.to_numpy(zero_copy_only=False) for k, v in columns.items()})
+            own = pd.DataFrame({"row": rows, "item": 0} | {k: v.to_numpy(zero_copy_only=False) for k, v in columns.items()})
             best = _best_windows(own, near, drift, least)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(best["row"], pa.int64())), coded.dictionary.take(pa.array(best["item"], pa.int64())), pa.array(best["terms"], pa.int64())],
-                ["doc_key", "item_key", "terms"],
-            )
+            at = pa.array(best["row"], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(best["terms"], pa.int64())], ["doc_key", "item_key", "terms"])
 
-    schema = f"doc_key {hits.schema['doc_key'].dataType.simpleString()}, item_key {terms.schema['item_key'].dataType.simpleString()}, terms bigint"
+    schema = f"doc_key {hits.schema['doc_key'].dataType.simpleString()}, item_key {hits.schema['item_key'].dataType.simpleString()}, terms bigint"
     return hits.mapInArrow(match, schema)
