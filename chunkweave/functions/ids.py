@@ -18,3 +18,9 @@ def canonical_uuid(value: Column | str) -> Column:
     plain = F.lower(F.regexp_replace(col, r"^\s+|\s+$", ""))
     shaped = F.when(plain.rlike(_UUID), F.regexp_replace(plain, _UUID, "$1-$2-$3-$4-$5"))
     return F.when(shaped != NIL, shaped)
+
+
+def canonical_related(column: str) -> Column:
+    """Related ids as an array of canonical ids, each once, in order; text that is no JSON array counts as one id."""
+    listed = F.coalesce(F.from_json(column, "array<string>"), F.array(F.col(column)))
+    return F.array_distinct(F.filter(F.transform(listed, canonical_uuid), lambda x: x.isNotNull()))

@@ -16,8 +16,8 @@ def retrieval_metrics(predictions: DataFrame, truth: DataFrame, k: int = 5, stra
     it found nothing; ``strategies`` names them, by default those that occur in ``predictions``.
     """
     wanted = truth.select("query_id", F.array_distinct(F.coalesce("ids", F.array().cast("array<string>"))).alias("ids"))
-    named = predictions.select("strategy").distinct() if strategies is None else wanted.sparkSession.createDataFrame([(s,) for s in strategies], "strategy string")
-    asked = wanted.crossJoin(F.broadcast(named))  # as many as there are strategies
+    names = [r.strategy for r in predictions.select("strategy").distinct().collect()] if strategies is None else strategies  # a few names
+    asked = wanted.withColumn("strategy", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
     marked = asked.join(predictions, ["strategy", "query_id"], "left").withColumn("hit", F.coalesce(F.array_contains("ids", F.col("id")), F.lit(False)))
     near = F.col("hit") & (F.col("rank") <= k)
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.size("ids"), F.lit(k)), F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))

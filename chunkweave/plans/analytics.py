@@ -201,7 +201,7 @@ LEFT JOIN (SELECT source_chunk, count(*) AS n FROM {TRIPLES} GROUP BY 1) t ON t.
     "draft_merge": f"""
 SELECT document_id, page, md5(string_agg(CASE WHEN trim(coalesce(content, ''), ' ') <> '' THEN trim(content, ' ') END, chr(10) || chr(10) ORDER BY chunk_index)) AS content,
   len(list_distinct(flatten(list(coalesce({_RELATED}, []))))) + CASE WHEN len(list_filter(flatten(list(coalesce({_RELATED}, []))), lambda x: x IS NULL)) > 0 THEN 1 ELSE 0 END AS related, count(*)::INT AS drafts
-FROM {CHUNKS} WHERE document_id IS NOT NULL AND page < 3 GROUP BY document_id, page""",
+FROM {CHUNKS} WHERE document_id IS NOT NULL GROUP BY document_id, page""",
     "latest_documents": """SELECT src_id, dst_id, rel_type, id FROM tmp_chunk_relations_upload WHERE src_id IS NOT NULL AND dst_id IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY src_id, dst_id, rel_type ORDER BY created_at DESC, id DESC) = 1""",
     "delta_merge": """SELECT o_orderkey, CASE WHEN o_orderkey % 10 >= 6 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,

@@ -81,6 +81,9 @@ QUERIES = {
 }
 
 _TEXTS = f"(SELECT *, coalesce(text, '') AS t FROM {BLOCKS} WHERE NOT is_table AND type <> 'image')"
+# Tables and images are one part each: the text, or for an image without one the number of its page.
+_MEDIA = f"""SELECT doc_id, block_pos, 0::INT AS part_no, coalesce(page_idx, -1) AS page_idx, CASE WHEN type = 'image' AND coalesce(text, '') = '' THEN '[图片 第' || (page_idx + 1) || '页]' ELSE coalesce(text, '') END AS content
+FROM {BLOCKS} WHERE is_table OR type = 'image'"""
 _PAGES = f"""(SELECT doc_id, page_idx, coalesce(sum(length(text)) FILTER (WHERE type IN ('text', 'title')), 0) AS text_chars,
   count(*) FILTER (WHERE type IN ('text', 'title')) AS text_blocks, count(*) FILTER (WHERE type = 'image') AS image_count,
   count(*) FILTER (WHERE type = 'table') AS drawing_count FROM {BLOCKS} WHERE doc_id <> '' AND page_idx IS NOT NULL GROUP BY ALL)"""
@@ -102,10 +105,10 @@ SQL = {
 SELECT doc_id, block_pos, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INT AS part_no, coalesce(page_idx, -1) AS page_idx, content FROM (
   SELECT id, doc_id, block_pos, page_idx, k, substring(t, (k * 350 + 1)::BIGINT, 400) AS content
   FROM {_TEXTS}, LATERAL (SELECT unnest(range(0, greatest(ceil((greatest(length(t), 1) - 400) / 350.0), 0)::BIGINT + 1)) AS k))
-WHERE {strip_sql('content')} <> ''""",
+WHERE {strip_sql('content')} <> '' UNION ALL {_MEDIA}""",
     "chunk_separator": f"""
 SELECT doc_id, block_pos, (i - 1)::INT AS part_no, coalesce(page_idx, -1) AS page_idx, {strip_sql('parts[i]')} AS content
-FROM (SELECT *, {_SEPARATED} AS parts FROM {_TEXTS}), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)""",
+FROM (SELECT *, {_SEPARATED} AS parts FROM {_TEXTS}), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) UNION ALL {_MEDIA}""",
     "chunk_stats": f"""
 SELECT strategy, count(*) AS chunks, count(*) FILTER (WHERE is_table_chunk) AS tables, round(avg(length(coalesce(content, ''))), 2) AS avg_chars,
   min(length(coalesce(content, ''))) AS min_chars, max(length(coalesce(content, ''))) AS max_chars, count(DISTINCT page) AS pages

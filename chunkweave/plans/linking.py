@@ -104,6 +104,19 @@ def graph_edges(spark, sf_dir):
     return _document_graph(spark, sf_dir)[1]
 
 
+def graph_term_nodes(spark, sf_dir):
+    """The graph without entities."""
+    own, terms, _ = _graph_parts(spark, sf_dir)
+    return knowledge.graph_nodes(own, terms, 100)
+
+
+def graph_term_edges(spark, sf_dir):
+    own, terms, _ = _graph_parts(spark, sf_dir)
+    nodes = written(knowledge.graph_nodes(own, terms, 100), "nodes")
+    edges = relations(spark, sf_dir).select("src_id", "dst_id", "rel_type").join(own.select(F.col("id").alias("src_id"), "doc_id"), "src_id")
+    return knowledge.graph_edges(nodes, edges, terms)
+
+
 def graph_stats(spark, sf_dir):
     own, terms, mentions = _graph_parts(spark, sf_dir)
     return knowledge.graph_stats(own, terms, 100, mentions)
@@ -119,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         figure_references, adjacent_media, sibling_pairs, inherited_relations, procedure_steps, causal_links, unique_relations, semantic_links,
-        migrated_relations, entity_merge, entity_definitions, chunk_entities, graph_nodes, graph_edges, graph_stats, graph_preview_seed,
+        migrated_relations, entity_merge, entity_definitions, chunk_entities, graph_nodes, graph_edges, graph_term_nodes, graph_term_edges, graph_stats, graph_preview_seed,
     )
 }
 
@@ -150,15 +163,17 @@ _STEP = f"""CASE WHEN regexp_matches({_HEAD}, '{links.ORDER}') OR {' OR '.join(f
   coalesce(nullif(CASE WHEN regexp_full_match({_STEP_NO}, '[0-9]{{1,9}}') THEN CAST({_STEP_NO} AS INT) WHEN length({_STEP_NO}) = 1 THEN instr('一二三四五六七八九十', {_STEP_NO}) END, 0), 999) END"""
 _LABEL = "CASE WHEN length({0}) > 32 THEN left({0}, 31) || '…' ELSE {0} END"
 _FLAT = "regexp_replace(regexp_replace({0}, '\\s+', ' ', 'g'), '^[\\s\\x{{3000}}\\x{{00A0}}]+|[\\s\\x{{3000}}\\x{{00A0}}]+$', '', 'g')"
+# Chunks in reading order, then the terms of the triples of the chunks shown, the surest triples first.
 _NODES = f"""
 WITH docs AS (SELECT * FROM {_DOCS}),
-terms AS (SELECT d.doc_id, t.s, t.o FROM {TRIPLES} t JOIN docs d ON t.source_chunk = d.id),
+shown AS (SELECT doc_id, id FROM docs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idx, id) <= 100),
+lines AS (SELECT d.doc_id, s, o, row_number() OVER (PARTITION BY d.doc_id ORDER BY confidence DESC NULLS FIRST, s NULLS FIRST, p NULLS FIRST, o NULLS FIRST) AS line FROM {TRIPLES} t JOIN shown d ON t.source_chunk = d.id),
+named AS (SELECT doc_id, term, min(pl) AS pl FROM (SELECT doc_id, s AS term, line * 2 AS pl FROM lines UNION ALL SELECT doc_id, o, line * 2 + 1 FROM lines) WHERE term <> '' GROUP BY ALL),
 every AS (
   SELECT doc_id, id AS node_id, CASE WHEN is_table_chunk THEN 'table' WHEN is_image_chunk THEN 'image' ELSE 'text' END AS node_type,
     {_FLAT.format("coalesce(nullif(" + _FLAT.format("coalesce(title, '')") + ", ''), content, '')")} AS l, 0 AS rank, idx AS pl FROM docs
-  UNION ALL SELECT doc_id, 'term:' || term, 'triple_term', {_FLAT.format('term')}, 1, 0 FROM (
-    SELECT DISTINCT doc_id, unnest([s, o]) AS term FROM terms) WHERE term IS NOT NULL AND term <> ''),
-nodes AS (SELECT doc_id, node_id, node_type, {_LABEL.format('l')} AS label FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank, pl, node_id) <= 60)
+  UNION ALL SELECT doc_id, 'term:' || term, 'triple_term', {_FLAT.format('term')}, 1, pl FROM named),
+nodes AS (SELECT doc_id, node_id, node_type, {_LABEL.format('l')} AS label FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank, pl, node_id) <= 100)
 """
 
 SQL = {
@@ -204,15 +219,19 @@ JOIN {_DOCS} b ON a.dst_id = b.id WHERE a.dst_id <> a.src_id""",
 WITH m AS (SELECT DISTINCT kb_id, s AS name, source_chunk FROM {TRIPLES}),
 t AS (SELECT id, split_part(split_part({_FLAT.format('content')}, '。', 1), '；', 1) AS x FROM {CHUNKS} WHERE {_FLAT.format('content')} <> '')
 SELECT kb_id, name, arg_min(CASE WHEN contains(x, name) THEN left(x, 120) ELSE name || '：' || left(x, 100) END, source_chunk) AS definition FROM m JOIN t ON t.id = m.source_chunk GROUP BY kb_id, name""",
-    "graph_nodes": _NODES + "SELECT * FROM nodes",
-    "graph_edges": _NODES
-    + f"""SELECT DISTINCT e.* FROM (
-  SELECT d.doc_id, r.src_id AS src, r.dst_id AS dst, r.rel_type AS edge_type FROM {RELATIONS} r JOIN docs d ON d.id = r.src_id
-  UNION ALL SELECT doc_id, 'term:' || s, 'term:' || o, 'triple' FROM terms) e
-WHERE (e.doc_id, e.src) IN (SELECT (doc_id, node_id) FROM nodes) AND (e.doc_id, e.dst) IN (SELECT (doc_id, node_id) FROM nodes)""",
+    "graph_term_nodes": _NODES + "SELECT * FROM nodes",
+    "graph_term_edges": _NODES
+    + f""", hung AS (SELECT d.doc_id, d.id, 'term:' || s AS s, 'term:' || o AS o FROM {TRIPLES} t JOIN docs d ON t.source_chunk = d.id
+    WHERE (d.doc_id, d.id) IN (SELECT (doc_id, node_id) FROM nodes) AND (d.doc_id, 'term:' || s) IN (SELECT (doc_id, node_id) FROM nodes) AND (d.doc_id, 'term:' || o) IN (SELECT (doc_id, node_id) FROM nodes))
+SELECT DISTINCT d.doc_id, r.src_id AS src, r.dst_id AS dst, r.rel_type AS edge_type FROM {RELATIONS} r JOIN docs d ON d.id = r.src_id
+  WHERE (d.doc_id, r.src_id) IN (SELECT (doc_id, node_id) FROM nodes) AND (d.doc_id, r.dst_id) IN (SELECT (doc_id, node_id) FROM nodes)
+UNION SELECT doc_id, s, o, 'triple' FROM hung UNION SELECT doc_id, id, s, 'triple_source' FROM hung""",
     "graph_preview_seed": f"""
-WITH top AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY weight DESC NULLS LAST, id) AS r FROM {RELATIONS} QUALIFY r <= 80),
+WITH top AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY weight DESC NULLS LAST, id) AS r FROM {RELATIONS} QUALIFY r <= 800),
 ends AS (SELECT kb_id, src_id AS chunk_id, r * 2 AS pl FROM top UNION ALL SELECT kb_id, dst_id, r * 2 + 1 FROM top),
-first AS (SELECT kb_id, chunk_id, min(pl) AS pl FROM ends WHERE chunk_id IS NOT NULL GROUP BY ALL)
-SELECT kb_id, chunk_id, row_number() OVER (PARTITION BY kb_id ORDER BY pl)::INT AS pos FROM first QUALIFY pos <= 20""",
+first AS (SELECT kb_id, chunk_id, min(pl) AS pl FROM ends WHERE chunk_id IS NOT NULL GROUP BY ALL),
+recent AS (SELECT c.kb_id, c.id AS chunk_id, row_number() OVER (PARTITION BY c.kb_id ORDER BY d.updated_at DESC NULLS LAST, c.document_id NULLS LAST, c.chunk_index NULLS LAST, c.created_at NULLS LAST, c.id) AS pl
+  FROM {CHUNKS} c LEFT JOIN (SELECT * FROM kb_documents QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at) = 1) d ON d.id = c.document_id WHERE c.kb_id IS NOT NULL),
+every AS (SELECT kb_id, chunk_id, 0 AS late, pl FROM first UNION ALL SELECT kb_id, chunk_id, 1, pl FROM recent WHERE (kb_id, chunk_id) NOT IN (SELECT (kb_id, chunk_id) FROM first WHERE kb_id IS NOT NULL))
+SELECT kb_id, chunk_id, row_number() OVER (PARTITION BY kb_id ORDER BY late, pl)::INT AS pos FROM every QUALIFY pos <= 200""",
 }

@@ -208,7 +208,7 @@ truth AS (SELECT query_id, list_distinct(coalesce(ground_truth_chunks, [])) AS i
 metrics AS (SELECT strategy, query_id, round(count(*) FILTER (WHERE hit AND rank <= 5) / greatest(any_value(len(ids)), 1), 6) AS recall,
     round(coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE hit), 0), 6) AS mrr,
     round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit AND rank <= 5), 0) / any_value(list_sum(list_transform(range(1, greatest(least(len(ids), 5), 1) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg
-  FROM (SELECT e.*, ids, list_contains(ids, e.id) AS hit FROM every e JOIN truth USING (query_id)) GROUP BY ALL)
+  FROM (SELECT strategy, query_id, ids, rank, coalesce(list_contains(ids, e.id), false) AS hit FROM (SELECT * FROM truth CROSS JOIN (VALUES ('content'), ('title')) n(strategy)) LEFT JOIN every e USING (strategy, query_id)) GROUP BY ALL)
 """
 _MARK = " OR ".join(f"starts_with(content, '{m}')" for m in retrieval.MEDIA_MARKERS)
 _NUM = links.NUMBER
