@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkweave.functions.text import shortened, strip
+from chunkweave.operators.components import connected_components
+from chunkweave.runtime import written
 
 # Kinds of entities.
 ENTITY_TYPES = ("Concept", "Standard", "Equipment", "Process", "Hazard", "Person", "Organization", "Location", "Unknown")
@@ -17,12 +19,23 @@ def merge_entities(raw: DataFrame, types: tuple[str, ...] = ENTITY_TYPES) -> Dat
 
     In the order of ``seq`` each entity joins the first one of its type that shares a name or alias with it,
     whatever the case; the longest of the two names stays the name. Blank names are dropped.
-    Exact repetitions are folded before the sequential step, so its groups hold distinct spellings only.
+    Exact repetitions are folded before the sequential step, and only rows connected by a shared name or alias take part in
+    one sequence, as no others can meet; so a base that holds most rows is no single task.
     """
     name = strip(F.regexp_replace("name", r"\s+", " "))
     kind = F.when(F.col("type").isin(*types), F.col("type")).otherwise("Unknown")
     cleaned = raw.select("kb_id", "seq", name.alias("name"), kind.alias("type"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "source_chunk").filter("name != ''")
     folded = cleaned.groupBy("kb_id", "type", "name", "aliases").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_set("source_chunk")).alias("chunks"))
+    folded = written(folded.withColumn("node", F.monotonically_increasing_id()), "spellings")
+    # At least as coarse as the comparison in the sequence: what that holds for equal is connected.
+    key = lambda a: F.trim(F.lower(F.upper(F.regexp_replace(a, r"(?U)[\s\x1c-\x1f]+", " "))))
+    names = F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), "aliases"), key), lambda a: a != ""))
+    named = folded.select("kb_id", "type", "node", F.explode(names).alias("n"))
+    hub = named.groupBy("kb_id", "type", "n").agg(F.min("node").alias("hub"), F.count("*").alias("times")).filter("times > 1")
+    same = [named[c].eqNullSafe(hub[c]) for c in ("kb_id", "type", "n")]
+    edges = named.join(hub, same[0] & same[1] & same[2]).select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    parts = connected_components(edges)
+    placed = folded.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[dict] = []
@@ -34,17 +47,20 @@ def merge_entities(raw: DataFrame, types: tuple[str, ...] = ENTITY_TYPES) -> Dat
                 entity = found[min(known)]
                 entity["name"] = max((entity["name"], row.name), key=len)
             else:
-                entity = {"no": len(found), "name": row.name, "names": {}, "chunks": {}}
+                entity = {"no": len(found), "seq": row.seq, "name": row.name, "names": {}, "chunks": {}}
                 found.append(entity)
             for n in names:
                 entity["names"].setdefault(n.casefold(), n)
                 index[n.casefold()] = min(entity["no"], index.get(n.casefold(), entity["no"]))
             entity["chunks"].update(dict.fromkeys(c for c in row.chunks if c is not None))
         kb, kind = pdf["kb_id"].iloc[0], pdf["type"].iloc[0]
-        rows = [(kb, e["no"], e["name"], kind, [n for f, n in e["names"].items() if f != e["name"].casefold()], list(e["chunks"])) for e in found]
-        return pd.DataFrame(rows, columns=["kb_id", "entity_no", "name", "type", "aliases", "source_chunks"])
+        rows = [(kb, e["seq"], e["name"], kind, [n for f, n in e["names"].items() if f != e["name"].casefold()], list(e["chunks"])) for e in found]
+        return pd.DataFrame(rows, columns=["kb_id", "seq", "name", "type", "aliases", "source_chunks"])
 
-    return folded.groupBy("kb_id", "type").applyInPandas(merge, "kb_id string, entity_no int, name string, type string, aliases array<string>, source_chunks array<string>")
+    merged = placed.groupBy("part").applyInPandas(merge, "kb_id string, seq bigint, name string, type string, aliases array<string>, source_chunks array<string>")
+    # Numbers from 0 in the order of the first mention; rows of one base and type are sorted, not gathered.
+    order = Window.partitionBy("kb_id", "type").orderBy("seq", "name")
+    return merged.withColumn("entity_no", F.row_number().over(order) - 1).select("kb_id", "entity_no", "name", "type", "aliases", "source_chunks")
 
 
 def define_entities(mentions: DataFrame, chunks: DataFrame) -> DataFrame:

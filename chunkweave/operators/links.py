@@ -135,12 +135,13 @@ def similar_pairs(
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vec).alias("v"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"), (queries if queries is not None else F.lit(True)).alias("asks"))
     rows = rows.filter("id IS NOT NULL AND size(v) > 0")
-    n = rows.count()
-    parts = max(1, -(-n // block))
-    placed = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
-    asking = placed.filter("asks").select("id", "v", "g", F.lit(True).alias("asks"), F.col("own").alias("i"), F.explode(every).alias("j"))
-    answering = placed.select("id", "v", "g", F.lit(False).alias("asks"), F.explode(every).alias("i"), F.col("own").alias("j"))
+    counted = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    # As many blocks of asking rows as those fill: an answering row is copied once for each.
+    sides = [max(1, -(-counted[c] // block)) for c in ("q", "n")]
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = rows.filter("asks").select("id", "v", "g", "asks", place(sides[0]).alias("i"), every(sides[1]).alias("j"))
+    answering = rows.select("id", "v", "g", F.lit(False).alias("asks"), every(sides[0]).alias("i"), place(sides[1]).alias("j"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -26,9 +27,19 @@ def latest(changes: DataFrame, keys: Sequence[str], at: str, order: str) -> Data
     return last.select(*keys, "r.*")
 
 
-def insert_missing(current: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is not there yet: what an insert that ignores conflicts would add."""
-    return rows.dropDuplicates(list(keys)).join(current.select(*keys), list(keys), "left_anti")
+def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the least by ``order``, then by all other columns, so that the choice never depends on partitions."""
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return rows.distinct()
+    sortable = [c for c in others if not isinstance(rows.schema[c].dataType, (MapType, VariantType))]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate([*order, *sortable])])).alias("__r"))
+    return first.select(*keys, *[F.col("__r").getField(c).alias(c) for c in others]).select(*rows.columns)
+
+
+def insert_missing(current: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows whose key is not there yet: what an insert that ignores conflicts would add. The first by ``order`` of a key wins."""
+    return first_of(rows, keys, order).join(current.select(*keys), list(keys), "left_anti")
 
 
 def soft_delete(current: DataFrame, seen: DataFrame, keys: Sequence[str], flag: str = "active") -> DataFrame:

@@ -5,17 +5,21 @@ Ids are written in several spellings; every view gives them in their canonical f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkweave.functions.ids import canonical_related, canonical_uuid
 from chunkweave.runtime import broadcast_if_small, first_rows, table
 
 
-def chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Chunks, each id once (the earliest delivery), with the columns asked for."""
+def chunks(spark: SparkSession, sf_dir: str, *columns: str, where: Column | None = None) -> DataFrame:
+    """Chunks, each id once (the earliest delivery), with the columns asked for.
+
+    ``where``: a filter on columns in which the deliveries of a chunk agree; it reaches the scan.
+    """
     wanted = ["id", *[c for c in columns if c != "id"]]
     own = table(spark, sf_dir, "tmp_chunks_upload").select(*dict.fromkeys([*wanted, "created_at"]))
+    own = own if where is None else own.filter(where)
     once = first_rows(own.withColumn("id", canonical_uuid("id")), "id", "created_at").select(*wanted)
     if "related_ids" in wanted:
         once = once.withColumn("related_ids", F.to_json(canonical_related("related_ids")))

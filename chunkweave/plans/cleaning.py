@@ -31,10 +31,13 @@ def quality_gate(spark, sf_dir):
 
 
 def structured_filter(spark, sf_dir):
-    """Metadata retrieval: base, layers, tables and a page range, pushed to the scan."""
-    own = chunks(spark, sf_dir, "kb_id", "document_id", "page", "chunk_index", "layer", "is_table_chunk")
+    """Metadata retrieval: base, layers, tables and a page range.
+
+    All deliveries of a chunk agree in these columns, so the filter goes to the scan and only its rows are de-duplicated.
+    """
     hit = (F.col("kb_id") == "default") & F.col("layer").isin("child", "enhanced") & F.col("page").between(2, 9) & F.col("is_table_chunk")
-    return own.filter(hit).select("id", "document_id", "page", "chunk_index", F.lit(1.0).alias("score"))
+    own = chunks(spark, sf_dir, "kb_id", "document_id", "page", "chunk_index", "layer", "is_table_chunk", where=hit)
+    return own.select("id", "document_id", "page", "chunk_index", F.lit(1.0).alias("score"))
 
 
 QUERIES = {

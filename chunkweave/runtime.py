@@ -50,12 +50,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset a new one, only if all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_by = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_by.isDefined():
             return set_by.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="chunkweave-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

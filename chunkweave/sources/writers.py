@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkweave.functions.text import joined_text
+from chunkweave.operators.merge import first_of
 
 
 def search_text(title: str = "title", content: str = "content", source: str = "source") -> Column:
@@ -51,10 +52,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quote", '"').option("escape", '"').mode("overwrite").csv(path)
 
 
-def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append the rows whose key the table does not hold; the first of repeated keys wins."""
+def append_new(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> None:
+    """Append the rows whose key the table does not hold; of repeated keys the first by ``order`` wins."""
     spark = df.sparkSession
-    rows = df.dropDuplicates(list(keys))
+    rows = first_of(df, keys, order)
     try:
         rows = rows.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
     except Exception as e:

@@ -55,3 +55,35 @@ def test_merge(spark, tmp_path):
     stored(spark, tmp_path, ROWS[2:])
     once()
     assert {r.key: r.tokens for r in spark.read.parquet(f"{target}/1").collect()} == {"a": 5, "b": 1}
+
+
+def test_late_calls_count_in_their_own_window(spark, tmp_path):
+    path = stored(spark, tmp_path, ROWS[2:3])
+    target = str(tmp_path / "late-out")
+
+    def once():
+        source = jobs.stream_quota(spark.readStream.schema(SCHEMA).parquet(path), "key", "created_at", 1)
+        query = source.writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(target)).option("checkpointLocation", str(tmp_path / "late"))
+        query.trigger(availableNow=True).start().awaitTermination(120)
+
+    once()
+    stored(spark, tmp_path, [*ROWS[:2], (5, dt(2025, 1, 1, 0, 1, 30), "a", 1, "success")])
+    once()
+    assert {r.order_id: r.place for r in spark.read.parquet(target).collect()} == {3: 1, 1: 1, 2: 2, 5: 2}
+
+
+def test_merge_by_parts(spark, tmp_path):
+    path = stored(spark, tmp_path, [*ROWS[:2], (9, dt(2025, 1, 1), "c", 7, "success")])
+    source = spark.readStream.schema(SCHEMA).parquet(path)
+    target = str(tmp_path / "parts")
+
+    def once():
+        jobs.stream_merge_parts(source, target, ["key"], "created_at", "order_id", str(tmp_path / "cp"), 8).trigger(availableNow=True).start().awaitTermination(120)
+
+    once()
+    for rows in (ROWS[2:], [(10, dt(2025, 1, 2), "a", 6, "success")], [(11, dt(2025, 1, 3), "a", 8, "success")]):
+        stored(spark, tmp_path, rows)
+        once()
+    assert {r.key: r.tokens for r in jobs.merged_table(spark, target).collect()} == {"a": 8, "b": 1, "c": 7}
+    batches = jobs._part_folders(spark, target)
+    assert max(map(len, batches.values())) == 2  # older versions of a part are gone
