@@ -205,12 +205,13 @@ def entity_hits(queries: DataFrame, entities: DataFrame, mentions: DataFrame, n:
     return _best(found, n, F.desc("score"), "id").select("query_id", "id", "score")
 
 
-def expand_graph(seeds: DataFrame, relations: DataFrame, hops: int = 2, most: int = 50, decay: float = 0.6) -> DataFrame:
+def expand_graph(seeds: DataFrame, relations: DataFrame, hops: int = 2, most: int = 50, decay: float = 0.6, mentions: DataFrame | None = None) -> DataFrame:
     """``query_id, id, score, hop``: chunks reached from the seeds, level by level.
 
     ``seeds``: ``query_id, intent, id``; ``relations``: ``src_id, dst_id, rel_type, weight``. The score of a step is the
     score so far times the weight, ``decay ** hop`` and the priority of the relation for the intent. A
-    chunk belongs to the first level that reaches it, by its best path there; seeds don't come back.
+    chunk belongs to the first level that reaches it, by its best path there; seeds don't come back. With ``mentions``
+    (``entity_id, chunk_id``) a relation *mentions* leads to an entity and on, at .9, to every chunk that mentions it.
     """
     listed = [F.struct(F.lit(i).alias("intent"), F.lit(t).alias("rel_type"), F.lit(p).alias("priority")) for i, own in PRIORITIES.items() for t, p in own.items()]
     one = seeds.sparkSession.range(1)
@@ -222,7 +223,12 @@ def expand_graph(seeds: DataFrame, relations: DataFrame, hops: int = 2, most: in
     for hop in range(hops):
         step = front.join(edges, front["id"] == edges["src_id"]).join(table, ["intent", "rel_type"], "left")
         score = F.col("score") * F.col("weight") * (decay**hop) * F.coalesce("priority", F.lit(0.5))
-        reached = step.select("query_id", "intent", F.col("dst_id").alias("id"), score.alias("score"))
+        reached = step.select("query_id", "intent", F.col("dst_id").alias("id"), score.alias("score"), (F.col("rel_type") == "mentions").alias("named"))
+        if mentions is not None:
+            # The best way to each entity before its chunks, so that a frequent entity is not multiplied by its ways.
+            entities = reached.filter("named").groupBy("query_id", "intent", F.col("id").alias("entity_id")).agg((F.max("score") * 0.9).alias("score"))
+            onward = entities.join(mentions.select("entity_id", F.col("chunk_id").alias("id")).distinct(), "entity_id").select("query_id", "intent", "id", "score")
+            reached = reached.filter("NOT coalesce(named, false)").drop("named").unionByName(onward)
         best = reached.groupBy("query_id", "intent", "id").agg(F.max("score").alias("score"))
         front = best.join(seen, ["query_id", "id"], "left_anti").select("query_id", "intent", "id", "score")
         found.append(front.select("query_id", "id", F.round("score", 9).alias("score"), F.lit(hop + 1).alias("hop")))
@@ -280,3 +286,65 @@ def dense_topk(vectors: DataFrame, query: list[float], n: int, key: str, vec: st
     """The ``n`` nearest rows of one query vector, exactly; ties by key."""
     given = F.array(*[F.lit(float(x)) for x in query])
     return vectors.select(key, cosine(vec, given).alias("score")).orderBy(F.desc_nulls_last("score"), key).limit(n)
+
+
+def hybrid_retrieve(media: DataFrame, candidates: DataFrame, chunks: DataFrame, order: list[str], n: int = 20, least: float = 0.3) -> DataFrame:
+    """``query_id, id, score, rank, route``: a query that names a figure or table is answered by ``media``, others by fusion.
+
+    ``media``: ``query_id, id, score``; ``candidates``: ``query_id, id, score, rank, channel``. Fused candidates are folded;
+    both ways add related chunks, and the best ``n`` of at least ``least`` stay. A query without any gives no row.
+    """
+    direct = media.select("query_id", "id", "score")
+    fused = reciprocal_fusion(candidates, order).select("query_id", "id", "score")
+    folded = fold_enhanced(fused, chunks).select("query_id", "id", "score").join(broadcast_if_small(direct.select("query_id").distinct()), "query_id", "left_anti")
+    routes = direct.withColumn("route", F.lit("media")).unionByName(folded.withColumn("route", F.lit("fusion")))
+    named = routes.groupBy("query_id").agg(F.min("route").alias("route"))
+    expanded = expand_related(routes.drop("route"), chunks).select("query_id", "id", "score")
+    return coarse_filter(expanded, least, n).join(named, "query_id").select("query_id", "id", "score", "rank", "route")
+
+
+def snapshot_roles(base: DataFrame, chunks: DataFrame, most: int = 200) -> DataFrame:
+    """``query_id, id, role``: base candidates, the chunks that enhanced ones belong to, and the first ``most`` related ids of both."""
+    own = chunks.select("id", "layer", "parent_id")
+    hits = base.select("query_id", "id").distinct()
+    folds = hits.join(own.filter("layer = 'enhanced' AND parent_id IS NOT NULL"), "id").select("query_id", F.col("parent_id").alias("id")).distinct()
+    first = hits.unionByName(folds).distinct().withColumn("score", F.lit(0.0))
+    related = _best(_related(first, chunks).select("query_id", "id").distinct(), most, "id").select("query_id", "id")
+    roles = [df.select("query_id", "id", F.lit(role).alias("role")) for df, role in ((hits, "base"), (folds, "fold"), (related, "related"))]
+    return reduce(DataFrame.unionByName, roles).join(own.select("id"), "id", "left_semi").select("query_id", "id", "role")
+
+
+def snapshot_retrieve(base: DataFrame, chunks: DataFrame, n: int = 20, least: float = 0.3) -> DataFrame:
+    """``query_id, id, score, rank`` from ``dense_score, sparse_score, dense_rank, sparse_rank``: scored, folded, related ones inherit."""
+    folded = fold_enhanced(snapshot_score(base).select("query_id", "id", "score"), chunks).select("query_id", "id", "score")
+    return coarse_filter(folded.unionByName(inherit_related(folded, chunks)), least, n)
+
+
+def graph_retrieve(
+    candidates: DataFrame, intents: DataFrame, chunks: DataFrame, relations: DataFrame, order: list[str], mentions: DataFrame | None = None, n: int = 5, least: float = 0.3
+) -> DataFrame:
+    """``query_id, id, score, rank, channel``: fused and related candidates as seeds, what the graph adds, the better score of each.
+
+    ``candidates``: ``query_id, id, score, rank, channel``; ``intents``: ``query_id, intent``. As seeds count the best
+    ``max(2 n, 10)`` of at least ``least``; the best ``n`` of both stay.
+    """
+    fused = reciprocal_fusion(candidates, order).select("query_id", "id", "score")
+    seeds = coarse_filter(expand_related(fused, chunks).select("query_id", "id", "score"), least, max(2 * n, 10)).drop("rank")
+    reached = expand_graph(seeds.join(broadcast_if_small(intents), "query_id").select("query_id", "intent", "id"), relations, mentions=mentions)
+    both = seeds.withColumn("channel", F.lit("seed")).unionByName(reached.select("query_id", "id", "score", F.lit("graph_expand").alias("channel")))
+    merged = both.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.min("channel").alias("channel"))
+    return _best(merged, n, F.desc("score"), "id").select("query_id", "id", "score", "rank", "channel")
+
+
+def final_prompt(query: Column | str, content: Column | str) -> Column:
+    """The yes/no question about one candidate, with the first 300 characters of its text."""
+    return F.concat(F.lit("以下内容是否与问题相关？问题："), query, F.lit("\n内容："), F.left(F.coalesce(content, F.lit("")), F.lit(300)), F.lit("\n只回答 yes 或 no"))
+
+
+def final_check(candidates: DataFrame, answer: str = "answer") -> DataFrame:
+    """The candidates whose ``answer`` doesn't say no; all of a query where none survives or a call failed (a null answer)."""
+    refused = F.contains(F.lower(F.col(answer)), F.lit("no"))
+    each = Window.partitionBy("query_id")
+    failed = F.max(F.col(answer).isNull()).over(each)
+    kept = F.max(~F.coalesce(refused, F.lit(False))).over(each)
+    return candidates.withColumn("__keep", failed | ~kept | ~F.coalesce(refused, F.lit(False))).filter("__keep").drop("__keep")

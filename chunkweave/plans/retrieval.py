@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chunkweave.operators import evaluate, links, retrieval
@@ -51,13 +52,7 @@ def rrf_fusion(spark, sf_dir):
 
 
 def snapshot_score(spark, sf_dir):
-    two = _channels(spark, sf_dir).groupBy("query_id", "id").agg(
-        F.max(F.when(F.col("channel") == "content", F.col("score"))).alias("dense_score"),
-        F.max(F.when(F.col("channel") == "title", F.col("score"))).alias("sparse_score"),
-        F.max(F.when(F.col("channel") == "content", F.col("rank"))).alias("dense_rank"),
-        F.max(F.when(F.col("channel") == "title", F.col("rank"))).alias("sparse_rank"),
-    )
-    return retrieval.snapshot_score(two).select("query_id", "id", "score")
+    return retrieval.snapshot_score(_base(spark, sf_dir)).select("query_id", "id", "score")
 
 
 def fold_enhanced(spark, sf_dir):
@@ -114,6 +109,58 @@ def graph_expand(spark, sf_dir):
     return retrieval.expand_graph(_seeds(spark, sf_dir), relations(spark, sf_dir).select("src_id", "dst_id", "rel_type", "weight"))
 
 
+def _mentioned(spark, sf_dir):
+    """(relations with those to entities, mentions): the subjects of the triples of a base are its entities."""
+    own = triples(spark, sf_dir).filter("s IS NOT NULL AND source_chunk IS NOT NULL")
+    entity = F.concat(F.lit("entity:"), F.coalesce("kb_id", F.lit("")), F.lit(":"), "s")
+    named = own.select(F.col("source_chunk").alias("src_id"), entity.alias("dst_id"), F.lit("mentions").alias("rel_type"), F.col("confidence").alias("weight"))
+    return relations(spark, sf_dir).select("src_id", "dst_id", "rel_type", "weight").unionByName(named), named.select(F.col("dst_id").alias("entity_id"), F.col("src_id").alias("chunk_id"))
+
+
+def graph_expand_entities(spark, sf_dir):
+    edges, mentions = _mentioned(spark, sf_dir)
+    return retrieval.expand_graph(_seeds(spark, sf_dir), edges, mentions=mentions)
+
+
+def hybrid_retrieve(spark, sf_dir):
+    return retrieval.hybrid_retrieve(media_reference(spark, sf_dir), _channels(spark, sf_dir), _chunks(spark, sf_dir), ["content", "title"])
+
+
+def _base(spark, sf_dir):
+    return _channels(spark, sf_dir).groupBy("query_id", "id").agg(
+        F.max(F.when(F.col("channel") == "content", F.col("score"))).alias("dense_score"),
+        F.max(F.when(F.col("channel") == "title", F.col("score"))).alias("sparse_score"),
+        F.max(F.when(F.col("channel") == "content", F.col("rank"))).alias("dense_rank"),
+        F.max(F.when(F.col("channel") == "title", F.col("rank"))).alias("sparse_rank"),
+    )
+
+
+def snapshot_roles(spark, sf_dir):
+    return retrieval.snapshot_roles(_hits(spark, sf_dir), _chunks(spark, sf_dir))
+
+
+def snapshot_retrieve(spark, sf_dir):
+    return retrieval.snapshot_retrieve(_base(spark, sf_dir), _chunks(spark, sf_dir))
+
+
+def graph_retrieve(spark, sf_dir):
+    found = entity_match(spark, sf_dir)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    entities = found.withColumn("rank", F.row_number().over(order)).withColumn("channel", F.lit("entity"))
+    asked = _queries(spark, sf_dir).select("query_id", retrieval.intent("text").alias("intent"))
+    edges, mentions = _mentioned(spark, sf_dir)
+    candidates = _channels(spark, sf_dir).unionByName(entities.select("query_id", "id", "score", "rank", "channel"))
+    found = retrieval.graph_retrieve(candidates, asked, _chunks(spark, sf_dir), edges, ["content", "title", "entity"], mentions)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def final_check(spark, sf_dir):
+    """A stand-in model says no to short texts."""
+    hits = _hits(spark, sf_dir, n=5).join(_chunks(spark, sf_dir).select("id", "content"), "id")
+    answer = F.when(F.length("content") % 11 == 0, F.lit(None).cast("string")).when(F.length("content") < 400, "No.").otherwise("yes")
+    return retrieval.final_check(hits.withColumn("answer", answer)).select("query_id", "id", "rank")
+
+
 def intent_route(spark, sf_dir):
     items = table(spark, sf_dir, "eval_records")
     return items.select(F.col("id").alias("query_id"), retrieval.intent(F.coalesce("query", F.lit(""))).alias("intent"))
@@ -165,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize, bm25_topk, dense_topk, rrf_fusion, snapshot_score, fold_enhanced, related_expand, related_inherit, coarse_filter, parent_aggregate, context_window,
-        media_reference, entity_match, graph_expand, intent_route, citation_parse, rule_score, extractive_answer, prompt_build, eval_metrics, eval_means,
+        media_reference, entity_match, graph_expand, graph_expand_entities, hybrid_retrieve, snapshot_roles, snapshot_retrieve, graph_retrieve, final_check, intent_route, citation_parse, rule_score, extractive_answer, prompt_build, eval_metrics, eval_means,
     )
 }
 
@@ -214,6 +261,56 @@ _MARK = " OR ".join(f"starts_with(content, '{m}')" for m in retrieval.MEDIA_MARK
 _NUM = links.NUMBER
 _DIGITS = "regexp_replace(translate({0}, '０１２３４５６７８９', '0123456789'), '[\\s\\-－–—]', '', 'g')"
 
+_MEDIA = f"""named AS (SELECT query_id, grp, regexp_extract(concat_ws(' ', text, ground_truth_answer), '[图表]\\s*(?:{_NUM})') AS x FROM queries),
+keys AS (SELECT query_id, grp, left(x, 1) || {_DIGITS.format('substring(x, 2)')} AS key FROM named WHERE x <> ''),
+found AS (SELECT query_id, id, CASE WHEN contains({_DIGITS.format("coalesce(title, '')")}, key) THEN 0 ELSE 1 END AS late, coalesce(page, 0) AS page, chunk_index FROM {CHUNKS} c JOIN keys k ON k.grp = c.kb_id
+  WHERE contains({_DIGITS.format("coalesce(title, '')")}, key) OR contains({_DIGITS.format("coalesce(content, '')")}, key)),
+media AS (SELECT query_id, id, round(greatest(1 - 0.02::DOUBLE * (rank - 1), 0.7::DOUBLE), 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, page, chunk_index NULLS FIRST, id) AS rank FROM found) WHERE rank <= 10)"""
+_IDS = "(SELECT id FROM tmp_chunks_upload)"
+
+
+def _fused(*channels: tuple[str, str]) -> str:
+    every = " UNION ALL ".join(f"SELECT query_id, id, score, rank, {k} AS o FROM {name}" for k, (name, _) in enumerate(channels))
+    return f"fused AS (SELECT query_id, id, round(arg_min(score, o) + sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM ({every}) GROUP BY query_id, id)"
+
+
+def _folded(source: str) -> str:
+    return f"""folded AS (SELECT query_id, t.id, round(max(score), 6) AS score FROM (SELECT query_id, CASE WHEN layer = 'enhanced' THEN parent_id ELSE c.id END AS id,
+  score * CASE WHEN layer = 'enhanced' AND ({_MARK}) THEN 0.95::DOUBLE WHEN layer = 'enhanced' THEN 0.85::DOUBLE ELSE 1 END AS score FROM {source} h JOIN {CHUNKS} c ON c.id = h.id) t WHERE t.id IN {_IDS} GROUP BY ALL)"""
+
+
+def _with_related(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT query_id, id, score FROM {source} UNION ALL SELECT DISTINCT query_id, rel, 0.3::DOUBLE FROM {source} h JOIN {_LISTED} l ON l.id = h.id
+  WHERE rel IN {_IDS} AND (query_id, rel) NOT IN (SELECT (query_id, id) FROM {source}))"""
+
+
+def _inherited(source: str) -> str:
+    return f"""told AS (SELECT query_id, rel AS id, -score AS s, l.id AS from_id, pos FROM {source} h JOIN {_LISTED} l ON l.id = h.id WHERE rel IS NOT NULL AND (query_id, rel) NOT IN (SELECT (query_id, id) FROM {source})),
+told1 AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY s, from_id, pos) = 1),
+inherited AS (SELECT query_id, id, score FROM (SELECT query_id, f.id, coalesce(is_image_chunk, false) AS image, round(greatest(0.24::DOUBLE, -s * CASE WHEN coalesce(is_image_chunk, false) THEN 0.45::DOUBLE ELSE 0.85::DOUBLE END), 8) AS score,
+  row_number() OVER (PARTITION BY query_id, coalesce(is_image_chunk, false), coalesce(document_id, ''), coalesce(page, -1) ORDER BY s, from_id, pos, f.id) AS n FROM told1 f JOIN {CHUNKS} c ON c.id = f.id) WHERE NOT image OR n = 1)"""
+
+
+_EDGES = f"""edges AS (SELECT src_id, dst_id, rel_type, coalesce(weight::DOUBLE, 0) AS weight FROM {RELATIONS} WHERE dst_id IS NOT NULL AND rel_type <> 'mentions'),
+told_of AS (SELECT 'entity:' || coalesce(kb_id, '') || ':' || s AS entity, source_chunk AS chunk, coalesce(confidence::DOUBLE, 0) AS weight FROM {TRIPLES} WHERE s IS NOT NULL AND source_chunk IS NOT NULL),
+told_in AS (SELECT DISTINCT entity, chunk FROM told_of)"""
+
+
+def _hop(name: str, before: str, decay: str, seen: list[str]) -> str:
+    gone = " AND ".join(f"(query_id, id) NOT IN (SELECT (query_id, id) FROM {t})" for t in seen)
+    named = _PRIORITY.replace("rel_type", "'mentions'")
+    return f"""{name} AS (SELECT query_id, intent, id, max(score) AS score FROM (
+  SELECT query_id, intent, dst_id AS id, score * weight * {decay} * {_PRIORITY} AS score FROM {before} b JOIN edges e ON e.src_id = b.id
+  UNION ALL SELECT query_id, intent, i.chunk, top * 0.9 FROM (SELECT query_id, intent, entity, max(score * weight * {decay} * {named}) AS top FROM {before} b JOIN told_of t ON t.chunk = b.id GROUP BY ALL) JOIN told_in i USING (entity))
+  WHERE {gone} GROUP BY ALL)"""
+
+
+def _expanded(seeds: str) -> str:
+    return f"""{_EDGES}, start AS (SELECT query_id, intent, id, 1.0::DOUBLE AS score FROM {seeds}), {_hop('level1', 'start', '1', ['start'])}, {_hop('level2', 'level1', '0.6', ['start', 'level1'])},
+expanded AS (SELECT query_id, id, round(score, 9) AS score, hop FROM (SELECT *, 1 AS hop FROM level1 UNION ALL SELECT *, 2 FROM level2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, round(score, 9) DESC, id) <= 50)"""
+
+
 SQL = {
     "tokenize": f"SELECT token, count(DISTINCT id) AS df FROM (SELECT id, unnest(regexp_extract_all(lower(coalesce(content, '')), '{_TOKEN}')) AS token FROM {CHUNKS}) GROUP BY token",
     "bm25_topk": _HITS + " SELECT * FROM hits",
@@ -272,6 +369,40 @@ two AS (SELECT query_id, intent, dst_id AS id, max(score * weight * 0.6 * {_PRIO
 level2 AS (SELECT * FROM two WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM seeds) AND (query_id, id) NOT IN (SELECT (query_id, id) FROM level1))
 SELECT query_id, id, score, hop FROM (SELECT query_id, id, round(score, 9) AS score, 1 AS hop FROM level1 UNION ALL SELECT query_id, id, round(score, 9), 2 FROM level2)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, score DESC, id) <= 50""",
+    "graph_expand_entities": _FIVE + f", seeds AS (SELECT h.query_id, {_INTENT.format('text')} AS intent, id FROM hits h JOIN queries q USING (query_id)), " + _expanded("seeds") + " SELECT * FROM expanded",
+    "hybrid_retrieve": _TWO + "," + _MEDIA + "," + _fused(("hits", ""), ("titles", "")) + "," + _folded("fused")
+    + """, kept AS (SELECT query_id, id, score FROM media UNION ALL SELECT query_id, id, score FROM folded WHERE query_id NOT IN (SELECT query_id FROM media)), """
+    + _with_related("more", "kept")
+    + """ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, CASE WHEN query_id IN (SELECT query_id FROM media) THEN 'media' ELSE 'fusion' END AS route
+FROM more WHERE score >= 0.3 QUALIFY rank <= 20""",
+    "snapshot_roles": _HITS
+    + f""", folds AS (SELECT DISTINCT query_id, parent_id AS id FROM hits h JOIN {CHUNKS} c ON c.id = h.id WHERE layer = 'enhanced' AND parent_id IS NOT NULL),
+both_of AS (SELECT query_id, id FROM hits UNION SELECT query_id, id FROM folds),
+rel AS (SELECT query_id, rel AS id FROM (SELECT DISTINCT query_id, rel FROM both_of b JOIN {_LISTED} l ON l.id = b.id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rel) <= 200)
+SELECT * FROM (SELECT query_id, id, 'base' AS role FROM hits UNION SELECT query_id, id, 'fold' FROM folds UNION SELECT query_id, id, 'related' FROM rel) WHERE id IN {_IDS}""",
+    "snapshot_retrieve": _TWO
+    + """, scored AS (SELECT query_id, id, round(CASE WHEN rel > 0 THEN least(rel + rrf, 1) ELSE rrf END, 6) AS score FROM (
+  SELECT coalesce(h.query_id, t.query_id) AS query_id, coalesce(h.id, t.id) AS id, greatest(coalesce(h.score, 0), least(greatest(coalesce(t.score, 0), 0), 1)) AS rel,
+    coalesce(1.0::DOUBLE / (60 + h.rank), 0) + coalesce(1.0::DOUBLE / (60 + t.rank), 0) AS rrf FROM hits h FULL JOIN titles t ON h.query_id = t.query_id AND h.id = t.id)), """
+    + _folded("scored") + "," + _inherited("folded")
+    + """ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM (SELECT * FROM folded UNION ALL SELECT * FROM inherited) WHERE score >= 0.3 QUALIFY rank <= 20""",
+    "graph_retrieve": _TWO
+    + f""", entities AS (SELECT DISTINCT kb_id AS grp, s AS name FROM {TRIPLES} WHERE s IS NOT NULL),
+matched AS (SELECT query_id, e.grp, name, round(CASE WHEN lower(trim(name)) = '' THEN 0 WHEN lower(trim(text)) = lower(trim(name)) THEN 1 WHEN contains(lower(trim(text)), lower(trim(name))) OR contains(lower(trim(name)), lower(trim(text))) THEN 0.92
+    ELSE coalesce(0.4 + 0.4 * nullif(len(list_intersect(regexp_extract_all(lower(text), '{_TOKEN}'), regexp_extract_all(lower(name), '{_TOKEN}'))), 0)::DOUBLE / len(list_distinct(regexp_extract_all(lower(name), '{_TOKEN}'))), 0) END::DOUBLE, 6) AS score
+  FROM entities e JOIN queries q USING (grp)),
+ents AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, source_chunk AS id, max(score) AS score FROM (
+    SELECT * FROM matched WHERE score >= 0.35 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) <= 10) t
+  JOIN {TRIPLES} m ON m.kb_id = t.grp AND m.s = t.name WHERE source_chunk IS NOT NULL GROUP BY ALL) QUALIFY rank <= 10), """
+    + _fused(("hits", ""), ("titles", ""), ("ents", "")) + "," + _with_related("more", "fused")
+    + f""", tops AS (SELECT * FROM more WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10),
+seeds AS (SELECT t.query_id, {_INTENT.format('text')} AS intent, id FROM tops t JOIN queries q USING (query_id)), """
+    + _expanded("seeds")
+    + """ SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, channel FROM (
+  SELECT query_id, id, max(score) AS score, min(channel) AS channel FROM (SELECT query_id, id, score, 'seed' AS channel FROM tops UNION ALL SELECT query_id, id, score, 'graph_expand' FROM expanded) GROUP BY ALL) QUALIFY rank <= 5""",
+    "final_check": _FIVE
+    + f""", told AS (SELECT query_id, h.id, rank, CASE WHEN length(content) % 11 = 0 THEN NULL WHEN length(content) < 400 THEN false ELSE true END AS yes FROM hits h JOIN {CHUNKS} c ON c.id = h.id)
+SELECT query_id, id, rank FROM told WHERE yes OR query_id IN (SELECT query_id FROM told GROUP BY query_id HAVING count(*) > count(yes) OR NOT bool_or(yes))""",
     "intent_route": f"SELECT id AS query_id, {_INTENT.format(chr(99) + 'oalesce(query, ' + chr(39) * 2 + ')')} AS intent FROM eval_records",
     "citation_parse": _FIVE + "," + _CONTEXTS + "," + _ANSWERS + " SELECT answer_id, no, chunk_id, first FROM cited",
     "rule_score": _FIVE + "," + _CONTEXTS + "," + _ANSWERS
