@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chunkweave.runtime import written
+
 _READERS: dict[str, Callable[..., DataFrame]] = {}
 
 # Block types of parser categories.
@@ -177,6 +179,24 @@ def nested_record_blocks(documents: DataFrame, key: str, payload: str) -> DataFr
     return distinct_blocks(blocks)
 
 
+def provider_blocks(documents: DataFrame, key: str, markdown: str, payload: str) -> DataFrame:
+    """Blocks of a provider's answer: its markdown first, then what only its nested JSON has; each once per document."""
+    columns = ["doc_id", "block_pos", "type", "text", "page_idx", "table_html", "image_path"]
+    first = markdown_blocks(documents, key, markdown).withColumns({"page_idx": F.lit(0), "table_html": F.lit(None).cast("string")}).select(*columns)
+    second = nested_record_blocks(documents, key, payload).select(*columns).withColumn("block_pos", F.col("block_pos") + 1_000_000_000)
+    every = distinct_blocks(first.unionByName(second))
+    return every.withColumn("block_pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_pos")) - 1)
+
+
+@register_reader("images")
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """One image block per image file: ``doc_id, block_pos, type, text, page_idx, image_path``; other files give none."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    name = F.regexp_extract("path", r"[^/]+$", 0)
+    images = files.filter(F.lower(name).rlike(r"\.(png|jpe?g|gif|bmp|webp|tiff?)$"))
+    return images.select(name.alias("doc_id"), F.lit(0).alias("block_pos"), F.lit("image").alias("type"), F.lit("").alias("text"), F.lit(0).alias("page_idx"), F.col("path").alias("image_path"))
+
+
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -239,8 +259,8 @@ def is_public_url(url: Column | str) -> Column:
     return (host != "") & ~private
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 2, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """``url, level`` of stored pages reached from ``seeds.url`` over links of the same host, breadth first.
+def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 2, include: list[str] | None = None, exclude: list[str] | None = None, most: int = 50) -> DataFrame:
+    """``url, level`` of the first ``most`` stored pages reached from ``seeds.url`` over links of the same host, breadth first.
 
     ``pages``: ``url, links``. Fragments are dropped; one join per level.
     """
@@ -253,13 +273,15 @@ def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 2, include: list[str]
         ok = ok & F.exists(F.array(*[F.lit(w) for w in include]), lambda w: F.contains("url", w))
     linked = pages.select(clean(F.col("url")).alias("from_url"), F.explode("links").alias("to")).select("from_url", clean(F.col("to")).alias("url"))
     graph = linked.filter(host(F.col("from_url")) == host(F.col("url"))).filter(ok).distinct().withColumnRenamed("url", "to_url")
+    graph = written(graph, "crawl-links")
     level = seeds.select(clean(F.col("url")).alias("url")).distinct().withColumn("level", F.lit(0))
     seen = level
     for k in range(1, depth + 1):
         reached = level.join(graph, F.col("url") == F.col("from_url")).select(F.col("to_url").alias("url")).distinct()
-        level = reached.join(seen, "url", "left_anti").withColumn("level", F.lit(k))
+        level = written(reached.join(seen, "url", "left_anti").withColumn("level", F.lit(k)), "crawl-level")  # read by every later level
         seen = seen.unionByName(level)
-    return seen.join(pages.select(clean(F.col("url")).alias("url")).distinct(), "url", "left_semi")
+    stored = seen.join(pages.select(clean(F.col("url")).alias("url")).distinct(), "url", "left_semi")
+    return stored.orderBy("level", "url").limit(most)
 
 
 def office_text(data: bytes, extension: str) -> str:
@@ -296,7 +318,11 @@ def read_office(spark: SparkSession, path: str) -> DataFrame:
 
 @register_reader("jsonl_eval")
 def read_eval(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation records, one JSON object a line; blank lines are skipped."""
+    """Evaluation records, one JSON object a line; blank lines are skipped, a missing file has no records."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.globStatus(target):
+        return spark.createDataFrame([], EVAL_SCHEMA)
     return spark.read.schema(EVAL_SCHEMA).json(path).filter("id IS NOT NULL")
 
 

@@ -108,3 +108,24 @@ def test_settings(spark):
     one = spark.createDataFrame([("a", "1")], "key string, value string")
     two = spark.createDataFrame([("a", "2"), ("b", "2")], "key string, value string")
     assert sorted(map(tuple, readers.resolve_settings(wanted, one, two).collect())) == [("a", "1", "layer1"), ("b", "2", "layer2"), ("c", "0", "default")]
+
+
+def test_provider_blocks_take_markdown_first(spark):
+    data = {"blocks": [{"type": "title", "text": "Head"}, {"text": "line"}, {"text": "only here", "page_idx": 3}]}
+    df = spark.createDataFrame([("d", "# Head\nline", json.dumps(data)), ("e", None, None)], "doc string, md string, payload string")
+    got = [(r.block_pos, r.type, r.text, r.page_idx) for r in readers.provider_blocks(df, "doc", "md", "payload").orderBy("block_pos").collect()]
+    assert got == [(0, "title", "Head", 0), (1, "text", "line", 0), (2, "text", "only here", 3)]
+
+
+def test_images_and_missing_files(spark, tmp_path):
+    for name in ("a.PNG", "b.txt", "c.jpeg"):
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(r.doc_id for r in readers.read(spark, "images", str(tmp_path)).collect()) == ["a.PNG", "c.jpeg"]
+    assert readers.read_eval(spark, str(tmp_path / "none.jsonl")).count() == 0
+
+
+def test_crawl_is_bounded(spark):
+    pages = spark.createDataFrame([(f"https://x.example/{k}", [f"https://x.example/{k + 1}", f"https://x.example/{2 * k}"]) for k in range(80)], "url string, links array<string>")
+    seeds = spark.createDataFrame([("https://x.example/1",)], "url string")
+    assert readers.crawl(pages, seeds, 6, most=20).count() == 20
+    assert readers.crawl(pages, seeds, 1, most=2).count() == 2
