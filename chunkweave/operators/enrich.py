@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkweave.functions.text import strip
+from chunkweave.operators.merge import first_of
 
 Model = Callable[[Sequence[str]], Sequence]
 _MODELS: dict[str, Model] = {}
@@ -138,9 +139,9 @@ def parse_scores(text: str | None, count: int) -> list[int]:
 def apply_cleaning(blocks: DataFrame, actions: DataFrame) -> DataFrame:
     """Blocks after a model's cleaning: ``actions`` has ``doc_id, block_pos, action, text`` (keep, fix or discard).
 
-    Blocks without an action and tables stay; a fix without text keeps the old text.
+    Blocks without an action and tables stay; of several actions the first in the alphabet counts; a fix without text keeps the old text.
     """
-    given = actions.select("doc_id", "block_pos", F.col("action").alias("__action"), F.col("text").alias("__text")).dropDuplicates(["doc_id", "block_pos"])
+    given = first_of(actions.select("doc_id", "block_pos", F.col("action").alias("__action"), F.col("text").alias("__text")), ["doc_id", "block_pos"])
     joined = blocks.join(given, ["doc_id", "block_pos"], "left")
     table = F.coalesce("is_table", F.lit(False))
     fixed = F.when(~table & (F.col("__action") == "fix"), F.coalesce(F.nullif(strip(F.col("__text")), F.lit("")), F.col("text"))).otherwise(F.col("text"))
