@@ -13,6 +13,9 @@ from chunkweave.runtime import written
 # Kinds of entities.
 ENTITY_TYPES = ("Concept", "Standard", "Equipment", "Process", "Hazard", "Person", "Organization", "Location", "Unknown")
 
+#: Rows that one task merges, about; a component is never split.
+MERGED_ROWS = 5_000
+
 
 def merge_entities(raw: DataFrame, types: tuple[str, ...] = ENTITY_TYPES) -> DataFrame:
     """``kb_id, entity_no, name, type, aliases, source_chunks`` from ``kb_id, seq, name, type, aliases, source_chunk``.
@@ -35,29 +38,31 @@ def merge_entities(raw: DataFrame, types: tuple[str, ...] = ENTITY_TYPES) -> Dat
     same = [named[c].eqNullSafe(hub[c]) for c in ("kb_id", "type", "n")]
     edges = named.join(hub, same[0] & same[1] & same[2]).select(F.col("hub").alias("u"), F.col("node").alias("v"))
     parts = connected_components(edges)
-    placed = folded.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    # Whole components share a task with others until it has about ``MERGED_ROWS`` rows.
+    tasks = max(1, -(-folded.count() // MERGED_ROWS))
+    placed = folded.join(parts, "node", "left").withColumn("task", F.pmod(F.xxhash64(F.coalesce("component", "node")), F.lit(tasks)))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[dict] = []
-        index: dict[str, int] = {}  # folded name -> the earliest entity that knows it
+        index: dict[tuple, int] = {}  # base, type and folded name -> the earliest entity that knows it
         for row in pdf.sort_values("seq").itertuples(index=False):
             names = [row.name, *(" ".join(a.split()) for a in row.aliases if a and a.strip())]
-            known = [index[n.casefold()] for n in names if n.casefold() in index]
+            keys = [(row.kb_id, row.type, n.casefold()) for n in names]
+            known = [index[k] for k in keys if k in index]
             if known:
                 entity = found[min(known)]
                 entity["name"] = max((entity["name"], row.name), key=len)
             else:
-                entity = {"no": len(found), "seq": row.seq, "name": row.name, "names": {}, "chunks": {}}
+                entity = {"no": len(found), "kb": row.kb_id, "type": row.type, "seq": row.seq, "name": row.name, "names": {}, "chunks": {}}
                 found.append(entity)
-            for n in names:
+            for n, k in zip(names, keys):
                 entity["names"].setdefault(n.casefold(), n)
-                index[n.casefold()] = min(entity["no"], index.get(n.casefold(), entity["no"]))
+                index[k] = min(entity["no"], index.get(k, entity["no"]))
             entity["chunks"].update(dict.fromkeys(c for c in row.chunks if c is not None))
-        kb, kind = pdf["kb_id"].iloc[0], pdf["type"].iloc[0]
-        rows = [(kb, e["seq"], e["name"], kind, [n for f, n in e["names"].items() if f != e["name"].casefold()], list(e["chunks"])) for e in found]
+        rows = [(e["kb"], e["seq"], e["name"], e["type"], [n for f, n in e["names"].items() if f != e["name"].casefold()], list(e["chunks"])) for e in found]
         return pd.DataFrame(rows, columns=["kb_id", "seq", "name", "type", "aliases", "source_chunks"])
 
-    merged = placed.groupBy("part").applyInPandas(merge, "kb_id string, seq bigint, name string, type string, aliases array<string>, source_chunks array<string>")
+    merged = placed.groupBy("task").applyInPandas(merge, "kb_id string, seq bigint, name string, type string, aliases array<string>, source_chunks array<string>")
     # Numbers from 0 in the order of the first mention; rows of one base and type are sorted, not gathered.
     order = Window.partitionBy("kb_id", "type").orderBy("seq", "name")
     return merged.withColumn("entity_no", F.row_number().over(order) - 1).select("kb_id", "entity_no", "name", "type", "aliases", "source_chunks")
