@@ -75,3 +75,18 @@ def version_log(settings: DataFrame, key: str, value: str, at: str, order: str)
     w = Window.partitionBy(key).orderBy(at, order)
     changed = settings.withColumn("before", F.lag(value).over(w)).filter(~F.col("before").eqNullSafe(F.col(value)) | F.col("before").isNull())
     return changed.withColumn("version", F.row_number().over(w))
+
+
+def rolled_back(log: DataFrame, targets: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, value, version``: each setting as of the version that ``targets`` (``key, version``) asks for, else its last.
+
+    ``log``: see :func:`version_log`. A version that a setting never had leaves its last.
+    """
+    rows = log.join(targets.select(key, F.col("version").alias("__wanted")), key, "left")
+    order = F.struct((F.col("version") == F.coalesce("__wanted", F.lit(-1))).alias("asked"), "version")
+    return rows.groupBy(key).agg(F.max_by(F.struct(value, "version"), order).alias("r")).select(key, F.col("r").getField(value).alias(value), "r.version")
+
+
+def changes_since(rows: DataFrame, at: str, mark) -> DataFrame:
+    """The rows later than the high watermark ``mark``; all of them where it is None. The filter reaches the scan."""
+    return rows if mark is None else rows.filter(F.col(at) > F.lit(mark))

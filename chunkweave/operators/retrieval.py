@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkweave.functions.text import cosine, first_match, media_number, strip, tokens
+from chunkweave.operators.enrich import rerank
 from chunkweave.operators.links import NUMBER
 from chunkweave.runtime import broadcast_if_small
 
@@ -348,3 +349,19 @@ def final_check(candidates: DataFrame, answer: str = "answer") -> DataFrame:
     failed = F.max(F.col(answer).isNull()).over(each)
     kept = F.max(~F.coalesce(refused, F.lit(False))).over(each)
     return candidates.withColumn("__keep", failed | ~kept | ~F.coalesce(refused, F.lit(False))).filter("__keep").drop("__keep")
+
+
+def rerank_pipeline(candidates: DataFrame, chunks: DataFrame, scores: DataFrame, n: int, answers: DataFrame | None = None) -> DataFrame:
+    """``query_id, id, best_child, score, rank, context``: parents of the candidates, rescored, checked, with the text around them.
+
+    ``scores``: ``query_id, id, rerank_score`` of an outside model for the parents, where there is one; ``answers``:
+    ``query_id, id, answer`` of the final check of the best ``n``. The context of a parent without children is its own text.
+    """
+    parents = aggregate_parents(candidates, chunks)
+    top = rerank(parents, scores, n).select("query_id", "id", "best_child", F.col("final").alias("score"), "rank")
+    if answers is not None:
+        top = final_check(top.join(answers, ["query_id", "id"], "left")).drop("answer")
+    around = context_windows(top.select("query_id", "id", "best_child"), chunks)
+    own = chunks.select("id", F.coalesce("content", F.lit("")).alias("content"))
+    joined = top.join(around, ["query_id", "id"], "left").join(own, "id", "left")
+    return joined.select("query_id", "id", "best_child", "score", "rank", F.coalesce("context", "content", F.lit("")).alias("context"))

@@ -161,6 +161,17 @@ def final_check(spark, sf_dir):
     return retrieval.final_check(hits.withColumn("answer", answer)).select("query_id", "id", "rank")
 
 
+def rerank_pipeline(spark, sf_dir):
+    """Parents rescored by the length of their text; a stand-in model refuses texts of some lengths."""
+    own = _chunks(spark, sf_dir)
+    hits = _hits(spark, sf_dir).select("query_id", "id", "score")
+    texts = retrieval.aggregate_parents(hits, own).select("query_id", "id").join(own.select("id", F.length("content").alias("n")), "id")
+    scores = texts.filter("n IS NOT NULL").select("query_id", "id", F.round(1 / (1 + F.col("n")), 9).alias("rerank_score"))
+    answers = texts.select("query_id", "id", F.when(F.col("n") % 3 == 0, "no").otherwise("yes").alias("answer"))
+    found = retrieval.rerank_pipeline(hits, own, scores, 5, answers)
+    return found.select("query_id", "id", F.coalesce("best_child", F.lit("")).alias("best_child"), "score", "rank", F.md5("context").alias("context"))
+
+
 def intent_route(spark, sf_dir):
     items = table(spark, sf_dir, "eval_records")
     return items.select(F.col("id").alias("query_id"), retrieval.intent(F.coalesce("query", F.lit(""))).alias("intent"))
@@ -212,7 +223,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize, bm25_topk, dense_topk, rrf_fusion, snapshot_score, fold_enhanced, related_expand, related_inherit, coarse_filter, parent_aggregate, context_window,
-        media_reference, entity_match, graph_expand, graph_expand_entities, hybrid_retrieve, snapshot_roles, snapshot_retrieve, graph_retrieve, final_check, intent_route, citation_parse, rule_score, extractive_answer, prompt_build, eval_metrics, eval_means,
+        media_reference, entity_match, graph_expand, graph_expand_entities, hybrid_retrieve, snapshot_roles, snapshot_retrieve, graph_retrieve, final_check, rerank_pipeline, intent_route, citation_parse, rule_score, extractive_answer, prompt_build, eval_metrics, eval_means,
     )
 }
 
@@ -403,6 +414,16 @@ seeds AS (SELECT t.query_id, {_INTENT.format('text')} AS intent, id FROM tops t
     "final_check": _FIVE
     + f""", told AS (SELECT query_id, h.id, rank, CASE WHEN length(content) % 11 = 0 THEN NULL WHEN length(content) < 400 THEN false ELSE true END AS yes FROM hits h JOIN {CHUNKS} c ON c.id = h.id)
 SELECT query_id, id, rank FROM told WHERE yes OR query_id IN (SELECT query_id FROM told GROUP BY query_id HAVING count(*) > count(yes) OR NOT bool_or(yes))""",
+    "rerank_pipeline": _HITS + "," + _PARENTS
+    + f""", ranked AS (SELECT query_id, p.id, best_child, coalesce(round(1 / (1 + length(content))::DOUBLE, 9), score) AS score, coalesce(length(content) % 3 = 0, false) AS refused, content
+  FROM parents p LEFT JOIN {CHUNKS} c ON c.id = p.id),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM ranked QUALIFY rank <= 5),
+kept AS (SELECT * FROM best b WHERE NOT refused OR query_id IN (SELECT query_id FROM best b LEFT JOIN (SELECT id AS known FROM {CHUNKS}) k ON k.known = b.id GROUP BY query_id HAVING bool_and(refused) OR count(*) > count(known))),
+numbered AS (SELECT id, parent_id, coalesce(content, '') AS content, row_number() OVER (PARTITION BY parent_id ORDER BY chunk_index, id) AS n, count(*) OVER (PARTITION BY parent_id) AS total
+  FROM {CHUNKS} WHERE layer = 'child' AND parent_id IS NOT NULL),
+centre AS (SELECT query_id, p.id, greatest(least(n - 1, total - 2), 1) AS lo FROM kept p JOIN numbered m ON m.id = p.best_child AND m.parent_id = p.id),
+around AS (SELECT query_id, c.id, string_agg(content, chr(10) || chr(10) ORDER BY n) AS context FROM centre c JOIN numbered m ON m.parent_id = c.id AND m.n >= lo AND m.n < lo + 3 GROUP BY ALL)
+SELECT query_id, k.id, coalesce(best_child, '') AS best_child, score, rank, md5(coalesce(a.context, k.content, '')) AS context FROM kept k LEFT JOIN around a USING (query_id, id)""",
     "intent_route": f"SELECT id AS query_id, {_INTENT.format(chr(99) + 'oalesce(query, ' + chr(39) * 2 + ')')} AS intent FROM eval_records",
     "citation_parse": _FIVE + "," + _CONTEXTS + "," + _ANSWERS + " SELECT answer_id, no, chunk_id, first FROM cited",
     "rule_score": _FIVE + "," + _CONTEXTS + "," + _ANSWERS

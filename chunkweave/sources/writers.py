@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkweave.functions.text import joined_text
@@ -67,3 +68,22 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[st
 def file_hash(content: Column | str) -> Column:
     """SHA-256 of a file's bytes."""
     return F.sha2(F.col(content) if isinstance(content, str) else content, 256)
+
+
+def write_in_steps(spark: SparkSession, steps: Sequence[tuple[str, Callable[[], int | None], bool]]) -> DataFrame:
+    """``step_no, step, rows, seconds, failure``: the steps ``(name, run, required)`` in order, with their times.
+
+    ``run`` writes and gives its number of rows. A required step that fails ends the write with its error; of others the
+    failure is noted and the rest goes on.
+    """
+    out = []
+    for number, (name, run, required) in enumerate(steps):
+        began, rows, failure = time.monotonic(), None, None
+        try:
+            rows = run()
+        except Exception as e:
+            if required:
+                raise
+            failure = f"{type(e).__name__}: {e}".split("\n")[0]
+        out.append((number, name, rows, time.monotonic() - began, failure))
+    return spark.createDataFrame(out, "step_no int, step string, rows bigint, seconds double, failure string")

@@ -1,8 +1,10 @@
 """Projections and summaries on hand-made rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from chunkweave.operators import reports, retrieval
+from chunkweave.operators import merge, reports, retrieval
+from chunkweave.sources import writers
 
 
 def test_candidate_defaults(spark):
@@ -46,3 +48,21 @@ def test_hop_over_an_entity(spark):
     mentions = spark.createDataFrame([("e1", "a"), ("e1", "c"), ("e1", "c")], "entity_id string, chunk_id string")
     got = {r.id: (r.score, r.hop) for r in retrieval.expand_graph(seeds, relations, mentions=mentions).collect()}
     assert got == {"c": (0.45, 1), "d": (0.216, 2)}
+
+
+def test_roll_back_and_watermark(spark):
+    rows = spark.createDataFrame([("k", "a", 1), ("k", "b", 2), ("k", "c", 3), ("m", "x", 1)], "key string, value string, at int").withColumn("n", F.col("at"))
+    log = merge.version_log(rows, "key", "value", "at", "n")
+    targets = spark.createDataFrame([("k", 2), ("m", 9)], "key string, version int")
+    assert {r.key: (r.value, r.version) for r in merge.rolled_back(log, targets, "key", "value").collect()} == {"k": ("b", 2), "m": ("x", 1)}
+    assert merge.changes_since(rows, "at", 1).count() == 2 and merge.changes_since(rows, "at", None).count() == 4
+
+
+def test_write_in_steps(spark):
+    def fails():
+        raise ValueError("no disk")
+
+    done = writers.write_in_steps(spark, [("chunks", lambda: 3, True), ("links", fails, False), ("triples", lambda: 1, True)]).orderBy("step_no").collect()
+    assert [(r.step, r.rows, r.failure) for r in done] == [("chunks", 3, None), ("links", None, "ValueError: no disk"), ("triples", 1, None)]
+    with pytest.raises(ValueError):
+        writers.write_in_steps(spark, [("chunks", fails, True)])
