@@ -56,7 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
         set_by = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_by.isDefined():
             return set_by.get()
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="chunkweave-")
         spark.sparkContext.setCheckpointDir(folder)
