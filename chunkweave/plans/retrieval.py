@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chunkweave.operators import evaluate, links, retrieval
-from chunkweave.plans._tables import CHUNKS, RELATIONS, TRIPLES, chunks, relations, triples
+from chunkweave.plans._tables import CHUNKS, RELATIONS, TRIPLES, chunks, relations, strip_sql, triples
 from chunkweave.runtime import table, written
 
 _COLUMNS = ("kb_id", "content", "title", "search_text", "document_id", "source", "page", "chunk_index", "layer", "parent_id", "related_ids", "is_image_chunk")
@@ -431,6 +431,13 @@ SELECT query_id, k.id, coalesce(best_child, '') AS best_child, score, rank, md5(
   SELECT answer_id, round(avg(score), 4) AS relevance FROM contexts GROUP BY answer_id)""",
     "eval_metrics": _TWO + _METRICS + "SELECT * FROM metrics",
     "eval_means": _TWO + _METRICS + "SELECT strategy, count(*) AS queries, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg FROM metrics GROUP BY strategy",
+    "extractive_answer": _FIVE
+    + f""", strong AS (SELECT h.query_id, rank AS idx, coalesce(content, '') AS content FROM hits h JOIN {CHUNKS} c ON c.id = h.id WHERE score >= 0.65 QUALIFY row_number() OVER (PARTITION BY h.query_id ORDER BY rank) <= 4),
+parts AS (SELECT query_id, idx, list_filter(list_transform(regexp_extract_all(content, '[^。！？；;]*[。！？；;]|[^。！？；;]+$'), lambda x: {strip_sql('x')}), lambda x: x <> '') AS l FROM strong),
+told AS (SELECT query_id, list_distinct(regexp_extract_all(text, '[一-鿿]{{2,}}|[A-Za-z0-9_]+')) AS terms FROM queries),
+scored AS (SELECT p.query_id, idx, sentence, pl, len(list_filter(terms, lambda t: contains(sentence, t))) AS h FROM (SELECT query_id, idx, unnest(l) AS sentence, unnest(range(len(l))) AS pl FROM parts) p JOIN told USING (query_id)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, idx ORDER BY h DESC, length(sentence) DESC, pl) = 1)
+SELECT query_id, idx, left(sentence, 220) AS sentence FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY idx) <= 3""",
     "prompt_build": _FIVE
     + f""" SELECT h.query_id, string_agg('[' || rank || '] ' || coalesce(source, '') || ' P.' || (coalesce(page, 0) + 1) || chr(10) || left(coalesce(content, ''), 500), chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || any_value(q.text) AS prompt
 FROM hits h JOIN {CHUNKS} c ON c.id = h.id JOIN queries q USING (query_id) GROUP BY h.query_id""",
