@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from chunkweave.functions.text import cosine, first_match, media_number, strip, tokens
 from chunkweave.operators.enrich import rerank
 from chunkweave.operators.links import NUMBER
-from chunkweave.runtime import broadcast_if_small
+from chunkweave.runtime import broadcast_if_small, written
 
 # What a question asks for, in order; weights of relations for each kind of question.
 INTENTS = [
@@ -231,7 +231,8 @@ def expand_graph(seeds: DataFrame, relations: DataFrame, hops: int = 2, most: in
             onward = entities.join(mentions.select("entity_id", F.col("chunk_id").alias("id")).distinct(), "entity_id").select("query_id", "intent", "id", "score")
             reached = reached.filter("NOT coalesce(named, false)").drop("named").unionByName(onward)
         best = reached.groupBy("query_id", "intent", "id").agg(F.max("score").alias("score"))
-        front = best.join(seen, ["query_id", "id"], "left_anti").select("query_id", "intent", "id", "score")
+        # Read by the result and by the next hop.
+        front = written(best.join(seen, ["query_id", "id"], "left_anti").select("query_id", "intent", "id", "score"), "hop")
         found.append(front.select("query_id", "id", F.round("score", 9).alias("score"), F.lit(hop + 1).alias("hop")))
         seen = seen.unionByName(front.select("query_id", "id"))
     every = reduce(DataFrame.unionByName, found)
@@ -298,7 +299,7 @@ def hybrid_retrieve(media: DataFrame, candidates: DataFrame, chunks: DataFrame,
     direct = media.select("query_id", "id", "score")
     fused = reciprocal_fusion(candidates, order).select("query_id", "id", "score")
     folded = fold_enhanced(fused, chunks).select("query_id", "id", "score").join(broadcast_if_small(direct.select("query_id").distinct()), "query_id", "left_anti")
-    routes = direct.withColumn("route", F.lit("media")).unionByName(folded.withColumn("route", F.lit("fusion")))
+    routes = written(direct.withColumn("route", F.lit("media")).unionByName(folded.withColumn("route", F.lit("fusion"))), "routes")
     named = routes.groupBy("query_id").agg(F.min("route").alias("route"))
     expanded = expand_related(routes.drop("route"), chunks).select("query_id", "id", "score")
     return coarse_filter(expanded, least, n).join(named, "query_id").select("query_id", "id", "score", "rank", "route")
@@ -330,7 +331,8 @@ def graph_retrieve(
     ``max(2 n, 10)`` of at least ``least``; the best ``n`` of both stay.
     """
     fused = reciprocal_fusion(candidates, order).select("query_id", "id", "score")
-    seeds = coarse_filter(expand_related(fused, chunks).select("query_id", "id", "score"), least, max(2 * n, 10)).drop("rank")
+    fused = written(fused, "fused")
+    seeds = written(coarse_filter(expand_related(fused, chunks).select("query_id", "id", "score"), least, max(2 * n, 10)).drop("rank"), "seeds")
     reached = expand_graph(seeds.join(broadcast_if_small(intents), "query_id").select("query_id", "intent", "id"), relations, mentions=mentions)
     both = seeds.withColumn("channel", F.lit("seed")).unionByName(reached.select("query_id", "id", "score", F.lit("graph_expand").alias("channel")))
     merged = both.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.min("channel").alias("channel"))
